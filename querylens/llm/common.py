@@ -25,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file, which every machine has installed."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -99,6 +106,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sum of ``values[bounds[i]:bounds[i + 1]]`` for each i; 0 for empty slices."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:]), dtype=np.result_type(values.dtype, np.float64 if values.dtype.kind == "f" else np.int64)), np.cumsum(values, axis=0, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
-    return total[bounds[1:]] - total[bounds[:-1]]
+    """Sum of ``values[bounds[i]:bounds[i + 1]]`` for each i, 0 where that is empty; each from its own values alone."""
+    kind = np.float64 if values.dtype.kind == "f" else np.int64
+    out = np.zeros((len(bounds) - 1, *values.shape[1:]), dtype=kind)
+    full = bounds[1:] > bounds[:-1]
+    if full.any():
+        out[full] = np.add.reduceat(values, bounds[:-1][full], axis=0, dtype=kind)
+    return out
+
+
+def ends(sizes) -> np.ndarray:
+    """The bounds of consecutive slices of these sizes."""
+    return np.concatenate([[0], np.cumsum(np.asarray(sizes, dtype=np.int64))]).astype(np.int64)
+
+
+def byte_table(members: bytes) -> np.ndarray:
+    table = np.zeros(256, dtype=bool)
+    table[list(members)] = True
+    return table
+
+
+IS_SPACE = byte_table(b" \t\n\v\f\r")
+IS_CONTINUATION = byte_table(bytes(range(0x80, 0xC0)))
