@@ -22,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ends, pieces, text_or_empty
@@ -244,7 +244,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of what :func:`encode_decode` returns."""
+def digests(encoded: DataFrame, *more: Column) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of what :func:`encode_decode` returns, and ``more`` of its columns."""
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *more)

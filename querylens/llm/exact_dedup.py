@@ -16,13 +16,11 @@ results; other columns are ignored, or kept by :func:`drop_copies`.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty, work_path
+from .common import settings, stored, text_or_empty, work_path
 
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -34,18 +32,6 @@ STATE_STORE = {
 }
 
 
-@contextmanager
-def _settings(spark: SparkSession, settings: dict[str, str]):
-    old = {k: spark.conf.get(k, None) for k in settings}
-    try:
-        for k, v in settings.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def keyed(rows: DataFrame) -> DataFrame:
     """``doc_id, digest, locator`` of a batch or stream of documents."""
     digest = F.sha2(text_or_empty(), 256).alias("digest")
@@ -67,7 +53,7 @@ def stream_state(keys: DataFrame, checkpoint: str) -> DataFrame:
     def write(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{checkpoint}-state/batch={batch}")
 
-    with _settings(spark, STATE_STORE):
+    with settings(spark, STATE_STORE):
         query = state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     schema = "digest string, best struct<keep_id:bigint,locator:struct<file:string,row:bigint>>, n bigint, batch int"

@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, mixing, pii, quality_fm, quality_rules, token_store, url_filter
+from . import bpe, exact_dedup, license_scan, mixing, ngram_join, pii, quality_fm, quality_rules, token_store, url_filter
 from .common import table, vocabulary, work_path
 from .labelled import fold
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/documents.parquet"
     judged = exact_dedup.dedup_files(spark, path, spark.read.parquet(path).schema)
@@ -61,7 +65,7 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_exact_dedup, op3_url_filter, op4_quality_rules, op5_bpe, op6_token_files, op7_pii, op8_pareto_mix, op9_license_scan, op10_quality_fm)
+    for f in (op1_ngram_jaccard_join, op2_exact_dedup, op3_url_filter, op4_quality_rules, op5_bpe, op6_token_files, op7_pii, op8_pareto_mix, op9_license_scan, op10_quality_fm)
 }
 
 SQL: dict[str, str] = {}
