@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: At most so many labelled documents are fetched to fit a model; the labels with the lowest hashes.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -14,8 +15,8 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], *, held_out: bool, rows: int = SAMPLE_ROWS) -> list:
-    """Rows ``(doc_id, quality, fold, *columns)``, at most ``rows`` of them, by ascending doc_id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], *, held_out: bool, rows: int = SAMPLE_ROWS) -> pa.Table:
+    """``doc_id, quality, fold, *columns``, at most ``rows`` rows, by ascending doc_id, in Arrow as it came.
 
     held_out: whether labels of fold 1 may be used. Rows without a label are left out; of several
     labels or texts of one doc_id the least counts.
@@ -27,4 +28,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], *, h
     # picked has at most ``rows`` rows whatever the labels.
     met = docs.select("doc_id", F.struct(*columns).alias("row")).join(F.broadcast(picked), "doc_id")
     one = met.groupBy("doc_id").agg(F.min("row").alias("row"), F.first("quality").alias("quality"), F.first("fold").alias("fold"))
-    return one.select("doc_id", "quality", "fold", "row.*").orderBy("doc_id").collect()
+    return one.select("doc_id", "quality", "fold", "row.*").toArrow().sort_by("doc_id")

@@ -93,16 +93,16 @@ class FactorisationMachine:
     def score(self, texts: Sequence[bytes], stated: Sequence) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.margin(*features(texts, stated)), -40, 40)))
 
-    def fit(self, texts: Sequence[bytes], stated: Sequence, labels: np.ndarray, *, passes: int = 8, batch: int = 128, rate: float = 0.08, decay: float = 1e-5, seed: int = 10) -> FactorisationMachine:
-        """AdaGrad on the logistic loss, in mini-batches dealt by a fixed seed."""
-        if not len(texts):
+    def fit(self, index: np.ndarray, values: np.ndarray, bounds: np.ndarray, labels: np.ndarray, *, passes: int = 8, batch: int = 128, rate: float = 0.08, decay: float = 1e-5, seed: int = 10) -> FactorisationMachine:
+        """AdaGrad on the logistic loss over texts' features, in mini-batches dealt by a fixed seed."""
+        n = len(labels)
+        if not n:
             self.factors *= 0
             return self
-        index, values, bounds = features(texts, stated)
         deal, y = np.random.default_rng(seed), labels.astype(float)
         seen = [1e-6, np.full(self.linear.shape, 1e-6), np.full(self.factors.shape, 1e-6)]
         for _ in range(passes):
-            order = deal.permutation(len(texts))
+            order = deal.permutation(n)
             for at in range(0, len(order), batch):
                 rows = order[at : at + batch]
                 sizes = bounds[rows + 1] - bounds[rows]
@@ -129,10 +129,19 @@ def _stated(docs: DataFrame) -> Column:
     return F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
 
 
+def gathered(texts: Sequence[bytes], stated: Sequence) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`features` of many texts, found piece by piece and held in 32 bits."""
+    parts = [features(texts[a:b], stated[a:b]) for a, b in pieces(texts)]
+    sizes = np.concatenate([np.diff(p[2]) for p in parts] or [np.zeros(0, np.int64)])
+    index = np.concatenate([p[0].astype(np.int32) for p in parts] or [np.zeros(0, np.int32)])
+    return index, np.concatenate([p[1].astype(np.float32) for p in parts] or [np.zeros(0, np.float32)]), ends(sizes)
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS) -> FactorisationMachine:
     """Fitted on labelled rows outside the held-out fold, at most ``rows`` of them."""
     got = labelled_sample(docs.withColumn("stated", _stated(docs)), labels, ["text", "stated"], held_out=False, rows=rows)
-    return FactorisationMachine().fit([(r["text"] or "").encode() for r in got], [r["stated"] for r in got], np.array([r["quality"] > 0 for r in got], dtype=bool))
+    texts = got["text"].cast("binary").fill_null(b"").to_pylist()
+    return FactorisationMachine().fit(*gathered(texts, got["stated"].to_pylist()), np.array(got["quality"].to_pylist(), dtype=float) > 0)
 
 
 def with_score(docs: DataFrame, model: FactorisationMachine, name: str = "score") -> DataFrame:

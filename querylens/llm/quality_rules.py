@@ -1,7 +1,7 @@
 """Quality rules: plain counts, and a logistic regression over hashed word and character n-grams.
 
-The regression's features are the shares of hashed word 1- and 2-grams and character 3-grams in a
-text, so its score is a mean of weights, found in time linear in the text. It is fitted on a bounded
+The regression's features are the hashed word 1- and 2-grams and character 3-grams of a text, each
+weighing the root of its share. It is fitted on a bounded
 sample of labelled quality rows and calibrated (Platt) on the sample's third fold; the calibrated
 probability is held against a fixed threshold.
 
@@ -25,7 +25,7 @@ from .labelled import SAMPLE_ROWS, labelled_sample
 #: Fixed values of the base rules.
 SYMBOLS = byte_table(b"#*$%&|<>")
 MIN_WORDS = 50
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 
 BITS = 18
 CHARS = 3
@@ -94,6 +94,14 @@ def _word_grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return (both >> np.uint64(64 - BITS)).astype(np.uint32), words.bounds * 2
 
 
+def _weighed(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, gram and weight of each distinct gram of each text; weights are the roots of the shares, of unit length."""
+    size = np.diff(bounds)
+    pair, count = np.unique(np.repeat(np.arange(len(size)), size) << BITS | grams, return_counts=True)
+    row = pair >> BITS
+    return row, pair & ((1 << BITS) - 1), np.sqrt(count / size[row])
+
+
 class NgramModel:
     """Weights of the two families of n-grams, and Platt's slope and offset."""
 
@@ -101,54 +109,57 @@ class NgramModel:
         self.weights = [np.zeros(1 << BITS), np.zeros(1 << BITS)]
         self.slope, self.offset = 1.0, 0.0
 
-    @staticmethod
-    def _grams(texts: Sequence[bytes], words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
-        return [_word_grams(words), _char_grams(texts)]
-
-    def _margin(self, grams: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        return sum(sums(w[i], b) / np.maximum(np.diff(b), 1) for w, (i, b) in zip(self.weights, grams, strict=True))
+    def _margin(self, grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+        return sum(np.bincount(r, weights=w[i] * x, minlength=n) for w, (r, i, x) in zip(self.weights, grams, strict=True))
 
     def probability(self, texts: Sequence[bytes], words: Words) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * self._margin(self._grams(texts, words)) + self.offset)))
+        return 1 / (1 + np.exp(-(self.slope * self._margin([_weighed(*_word_grams(words)), _weighed(*_char_grams(texts))], len(texts)) + self.offset)))
 
-    def fit(self, texts: Sequence[bytes], labels: np.ndarray, calibrate: np.ndarray, *, rounds: int = 60, rate: float = 2.0, decay: float = 1e-7) -> NgramModel:
+    @staticmethod
+    def _gathered(texts: Sequence[bytes], family) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """:func:`_weighed` of many texts, found piece by piece and held in 32 bits."""
+        parts = [(a, _weighed(*family(texts[a:b]))) for a, b in pieces(texts)]
+        return np.concatenate([(a + p[0]).astype(np.int32) for a, p in parts]), np.concatenate([p[1].astype(np.int32) for _, p in parts]), np.concatenate([p[2].astype(np.float32) for _, p in parts])
+
+    def fit(self, texts: Sequence[bytes], labels: np.ndarray, calibrate: np.ndarray, *, rounds: int = 60, rate: float = 0.15, decay: float = 1e-6) -> NgramModel:
         """Full-batch AdaGrad on the rows outside ``calibrate``; slope and offset by Newton's method on those in it."""
-        if not len(texts):
+        n = len(texts)
+        if not n:
             return self
-        grams = self._grams(texts, Words(texts))
-        train = np.flatnonzero(~calibrate) if (~calibrate).any() else np.arange(len(texts))
-        y = labels.astype(float)
-        active = np.zeros(len(texts))
+        y, train = labels.astype(float), np.flatnonzero(~calibrate) if (~calibrate).any() else np.arange(n)
+        active = np.zeros(n)
         active[train] = 1 / len(train)
+        grams = [self._gathered(texts, family) for family in (lambda t: _word_grams(Words(t)), _char_grams)]
         bias, seen = 0.0, [np.full(1 << BITS, 1e-10) for _ in self.weights]
-        rows = [np.repeat(np.arange(len(texts)), np.diff(b)) for _, b in grams]
-        share = [1 / np.maximum(np.diff(b), 1) for _, b in grams]
+
         for _ in range(rounds):
-            wrong = (1 / (1 + np.exp(-(self._margin(grams) + bias))) - y) * active
+            wrong = (1 / (1 + np.exp(-(self._margin(grams, n) + bias))) - y) * active
             bias -= 2.0 * wrong.sum()
-            for w, s, (i, _), r, n in zip(self.weights, seen, grams, rows, share, strict=True):
-                g = np.bincount(i, weights=(wrong * n)[r], minlength=len(w)) + decay * w
+            for w, s, (r, i, x) in zip(self.weights, seen, grams, strict=True):
+                g = np.bincount(i, weights=wrong[r] * x, minlength=len(w)) + decay * w
                 s += g * g
                 w -= rate * g / np.sqrt(s)
         check = np.flatnonzero(calibrate) if calibrate.any() else train
-        m, t = self._margin(grams)[check], y[check]
+        m, t = self._margin(grams, n)[check], y[check]
         # Platt's targets keep the probabilities off 0 and 1.
         t = np.where(t > 0, (t.sum() + 1) / (t.sum() + 2), 1 / (len(t) - t.sum() + 2))
-        x = np.stack([m, np.ones_like(m)], axis=1)
-        ab = np.array([1.0, bias])
+        scale = max(float(np.abs(m).mean()), 1e-9)
+        x = np.stack([m / scale, np.ones_like(m)], axis=1)
+        ab = np.zeros(2)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ ab, -30, 30)))
-            h = x.T @ (x * (p * (1 - p))[:, None]) + 1e-6 * np.eye(2)
-            ab -= np.clip(np.linalg.solve(h, x.T @ (p - t)), -5, 5)
-        self.slope, self.offset = map(float, ab)
+            h = x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
+            ab -= np.clip(np.linalg.solve(h, x.T @ (p - t)), -2, 2)
+        self.slope, self.offset = float(ab[0] / scale), float(ab[1])
         self.weights = [w.astype(np.float32) for w in self.weights]
         return self
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS) -> NgramModel:
     got = labelled_sample(docs, labels, ["text"], held_out=True, rows=rows)
-    texts = [(r["text"] or "").encode() for r in got]
-    return NgramModel().fit(texts, np.array([r["quality"] > 0 for r in got], dtype=bool), np.array([r["fold"] == 1 for r in got], dtype=bool))
+    texts = got["text"].cast("binary").fill_null(b"").to_pylist()
+    quality, fold = (np.array(got[c].to_pylist(), dtype=float) for c in ("quality", "fold"))
+    return NgramModel().fit(texts, quality > 0, fold == 1)
 
 
 def judge(docs: DataFrame, model: NgramModel, *, threshold: float = THRESHOLD) -> DataFrame:
