@@ -9,12 +9,16 @@ digest. Regions form around pivots, which are points themselves:
     documents share out of the prefixes). All points with a prefix shingle in common have the least
     of them as a pivot, so two linked points always share a pivot's region, and whoever has none of a
     pivot's shingles isn't near it.
-2.  Distances to the pivots are found exactly, from the whole sets. Points within the threshold of a
-    pivot are linked to it; components follow. A region all of whose points are in one component is done.
-3.  In the other regions d(x, p) orders the points. As |d(x, p) - d(y, p)| <= d(x, y), only points of one
-    band of the threshold's width, or of neighbouring bands, can be linked: each band is replicated to
-    the next one's. Bands too large for a task are dealt into blocks, and each two blocks meet once.
-4.  Within a task the join goes on recursively: a point serves as the next pivot, is held against
+2.  Each point has a signature: its shingles counted in about half as many buckets as it has shingles.
+    The buckets' smaller counts add up to no less than the two sets have in common, so the signatures bound
+    the distance from below; they are a sixteenth of the sets. Where the bound allows a link to the pivot, the
+    distance is found exactly, from the whole sets. Links to pivots give components; a region all of
+    whose points are in one component is done.
+3.  Other regions are cut into windows. Sizes are distances from the empty set in the metric of symmetric
+    differences; by the triangle inequality only points of one size band, or of neighbouring bands, can be
+    linked, so each band is replicated to its neighbours'. Bands too large for a task are dealt into blocks,
+    and each two blocks meet once. Points whose signatures allow a link to another component stay.
+4.  What stays is joined recursively within its window: a point serves as the next pivot, is held against
     those of other components that no earlier pivot's window rules out, and leaves.
 
 Every link between two components is found, or a path in its place: the components are exact.
@@ -88,6 +92,26 @@ def digest(sets: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def buckets(n: int) -> int:
+    """How many buckets the signature of a set of n has."""
+    return 1 << min(max((n // 2).bit_length(), 4), 14)
+
+
+def signature(s: np.ndarray) -> np.ndarray:
+    size = buckets(len(s))
+    # Upper bits choose the bucket; 16 bits never overflow, as a bucket of a hashed set holds a few.
+    return np.bincount((s >> np.uint64(50)).astype(np.int64) >> (14 - size.bit_length() + 1), minlength=size).astype("<u2")
+
+
+def folded(sig: np.ndarray, size: int) -> np.ndarray:
+    return sig.reshape(size, -1).sum(axis=1) if len(sig) > size else sig
+
+
+def may_link(n_x, n_y, common):
+    """Whether sets of these sizes are linked, or can be if ``common`` is an upper bound."""
+    return 100 * common >= PERCENT * (n_x + n_y - common)
+
+
 def _slots(values: np.ndarray) -> np.ndarray:
     return (values & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
@@ -115,10 +139,10 @@ def _summed(chunks: DataFrame) -> np.ndarray:
 
 
 def _points(docs: DataFrame, seed: int) -> tuple[DataFrame, np.ndarray]:
-    """``doc_id, n_shingles, d1, d2`` of each row, and the sketch of how many rows have each shingle."""
+    """``doc_id, n_shingles, d1, d2, sig`` of each row, and the sketch of how many rows have each shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_shingles", "d1", "d2", "chunk", "counts"]
+        names = ["doc_id", "n_shingles", "d1", "d2", "sig", "chunk", "counts"]
         counts = np.zeros(1 << BITS, np.int64)
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -127,14 +151,14 @@ def _points(docs: DataFrame, seed: int) -> tuple[DataFrame, np.ndarray]:
                 counts += np.bincount(_slots(np.concatenate(sets)), minlength=1 << BITS)
                 d1, d2 = digest(sets)
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(d1), pa.array(d2), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(d1), pa.array(d2), pa.array([signature(x).tobytes() for x in sets], pa.binary()), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], names)
         if rows := _chunk_rows(counts):
             k = len(rows)
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(k, pa.int64()) for _ in range(4)), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(k, pa.int64()) for _ in range(4)), pa.nulls(k, pa.binary()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names)
 
     rows = docs.select("doc_id", text_or_empty().cast("binary").alias("text"))
-    got = stored(rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, chunk int, counts binary"), "points")
-    return got.where("chunk is null").select("doc_id", "n_shingles", "d1", "d2"), _summed(got.where("chunk is not null").select("chunk", "counts"))
+    got = stored(rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary, chunk int, counts binary"), "points")
+    return got.where("chunk is null").select("doc_id", "n_shingles", "d1", "d2", "sig"), _summed(got.where("chunk is not null").select("chunk", "counts"))
 
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray, seed: int) -> DataFrame:
@@ -194,6 +218,24 @@ def _sets(docs: DataFrame, points: DataFrame, wanted: DataFrame, seed: int) -> D
     return rows.mapInArrow(run, "d1 long, n long, shingles binary").join(wanted, "d1", "left_semi").dropDuplicates(["d1"])
 
 
+def _near(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The pairs ``x, p`` that their signatures allow to be linked."""
+    at_p = pairs.join(signatures.select(F.col("d1").alias("p"), F.col("n").alias("n_p"), F.col("sig").alias("s_p")), "p")
+    both = at_p.join(signatures.select(F.col("d1").alias("x"), F.col("n").alias("n_x"), F.col("sig").alias("s_x")), "x").where(f"100 * least(n_x, n_p) >= {PERCENT} * greatest(n_x, n_p)")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_x, n_p, s_x, s_p = (batch.column(i).to_pylist() for i in range(2, 6))
+            keep = []
+            for n, m, a, b in zip(n_x, n_p, s_x, s_p, strict=True):
+                a, b = np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")
+                size = min(len(a), len(b))
+                keep.append(bool(may_link(n, m, int(np.minimum(folded(a, size), folded(b, size)).sum()))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "p"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("x", "p", "n_x", "n_p", "s_x", "s_p").mapInArrow(run, "x long, p long")
+
+
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``x, p, n_x, n_p, common`` of each pair ``x, p``, from the whole sets."""
     at_p = pairs.join(sets.select(F.col("d1").alias("p"), F.col("n").alias("n_p"), F.col("shingles").alias("s_p")), "p")
@@ -214,11 +256,11 @@ def _find(parent: dict, a: int) -> int:
     return a
 
 
-def links_within(ids: np.ndarray, sets: list[np.ndarray], component: np.ndarray, distance: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+def links_within(ids: np.ndarray, sets: list[np.ndarray], component: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
     """Links that join components, between points of side 0 and side 1 (or all points, if there is no side 1).
 
     Each point in turn is the pivot, held against the later ones that are still in other components and that
-    no window rules out: of sizes, of the region's pivot, of the first few pivots here.
+    no window rules out: that of sizes, and those of the first few pivots.
     """
     width = 1 - PERCENT / 100 + 1e-9
     values, flat = np.unique(np.concatenate(sets), return_inverse=True)
@@ -226,7 +268,7 @@ def links_within(ids: np.ndarray, sets: list[np.ndarray], component: np.ndarray,
     size = np.diff(bounds)
     parent: dict[int, int] = {}
     here = np.zeros(len(values), dtype=bool)
-    windows = [distance]
+    windows: list[np.ndarray] = []
     one_side = not (side == 1).any()
     found = []
     for q in range(len(sets) - 1):
@@ -258,32 +300,71 @@ def links_within(ids: np.ndarray, sets: list[np.ndarray], component: np.ndarray,
     return found
 
 
-def _region_links(distances: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b``: links between components, from the regions that hold points of several."""
-    d = 1 - F.col("common") / (F.col("n_x") + F.col("n_p") - F.col("common"))
-    pivots = distances.select(F.col("p").alias("x"), "p", F.lit(0.0).alias("d")).distinct()
-    points = distances.select("x", "p", d.alias("d")).unionByName(pivots)
-    named = roots.select(F.col("node").alias("x"), "root")
-    points = points.join(named, "x", "left").withColumn("root", F.coalesce("root", "x"))
-    open_ = points.groupBy("p").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size")).where("least <> most")
-    points = points.join(open_.select("p", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "p")
-    bands = int(100 / (100 - PERCENT))
-    points = points.withColumns({"band": F.least(F.floor(F.col("d") * bands), F.lit(bands - 1)).cast("int"), "block": F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")})
-    # A region of one block is one task. In others, the cells (band, block) of one or neighbouring bands meet in pairs.
-    cell = F.struct("band", "block")
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.col("band").alias("band"), k.alias("block")))
-    above = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct((F.col("band") + 1).cast("int").alias("band"), k.alias("block")))
-    below = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct((F.col("band") - 1).cast("int").alias("band"), k.alias("block")))
-    meets = F.explode(F.when(F.col("blocks") > 1, F.concat(others, above, below)).otherwise(F.array(F.struct(F.lit(0).alias("band"), F.lit(0).alias("block")))))
+def with_partners(size: np.ndarray, sigs: list[np.ndarray], component: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Of each point, whether its signature allows a link to one of another component (and of the other side, if there are two)."""
+    out = np.zeros(len(sigs), dtype=bool)
+    one_side = not (side == 1).any()
+    width = np.array([len(s) for s in sigs])
+    for level in np.unique(width):
+        # Linked sets differ by less than a factor of two: they have as many buckets, or one has twice as many.
+        rows = np.flatnonzero((width == level) | (width == 2 * level))
+        own = np.stack([folded(sigs[i], level) for i in rows])
+        for k, q in enumerate(rows):
+            if width[q] != level:
+                continue
+            # Pairs of equal width once; a wider one when this, the narrower, has its turn.
+            other = (component[rows] != component[q]) & ((rows > q) | (width[rows] != level)) & (100 * np.minimum(size[rows], size[q]) >= PERCENT * np.maximum(size[rows], size[q]))
+            if not one_side:
+                other &= side[rows] != side[q]
+            at = np.flatnonzero(other)
+            if len(at):
+                common = np.minimum(own[at], own[k]).sum(axis=1)
+                hit = rows[at[may_link(size[rows[at]], size[q], common)]]
+                if len(hit):
+                    out[hit] = out[q] = True
+    return out
+
+
+def _windows(members: DataFrame) -> DataFrame:
+    """``p, x, n, root`` dealt to windows: ``p, first, second`` name a group, ``side`` the part of it that a point is of.
+
+    A region of one block is one group. In others, cells (size band, block) of one or neighbouring bands meet in pairs.
+    """
+    size = members.groupBy("p").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    m = members.join(size, "p")
+    m = m.withColumns({"band": F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT)) + 1e-9).cast("int"), "block": F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")})
+
+    def cells(shift: int):
+        return F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct((F.col("band") + shift).cast("int").alias("band"), k.alias("block")))
+
     small = F.col("blocks") == 1
-    dealt = points.withColumn("other", meets).withColumn("own", F.when(small, F.col("other")).otherwise(cell))
-    dealt = dealt.select("p", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), F.when(small, 0).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"), "x", "root", "d")
-    with_sets = dealt.join(sets.select(F.col("d1").alias("x"), "shingles"), "x")
+    nowhere = F.struct(F.lit(0).alias("band"), F.lit(0).alias("block"))
+    m = m.withColumn("other", F.explode(F.when(small, F.array(nowhere)).otherwise(F.concat(cells(-1), cells(0), cells(1)))))
+    m = m.withColumn("own", F.when(small, nowhere).otherwise(F.struct("band", "block")))
+    return m.select("p", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), (F.col("own") > F.col("other")).cast("int").alias("side"), "x", "n", "root")
+
+
+def _region_links(pairs: DataFrame, roots: DataFrame, docs: DataFrame, points: DataFrame, signatures: DataFrame, seed: int) -> DataFrame:
+    """``a, b``: links between components, from the regions that hold points of several."""
+    named = signatures.select(F.col("d1").alias("x"), "n").join(roots.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+    members = pairs.unionByName(pairs.select(F.col("p").alias("x"), "p").distinct()).join(named, "x")
+    several = members.groupBy("p").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("p")
+    members = stored(members.join(several, "p"), "members")
+    with_sig = _windows(members).join(signatures.select(F.col("d1").alias("x"), "sig"), "x")
+
+    def keep(group: pd.DataFrame) -> pd.DataFrame:
+        sigs = [np.frombuffer(s, "<u2") for s in group["sig"]]
+        return group.loc[with_partners(group["n"].to_numpy(), sigs, group["root"].to_numpy(), group["side"].to_numpy()), ["p", "x"]]
+
+    left = with_sig.groupBy("p", "first", "second").applyInPandas(keep, "p long, x long").distinct()
+    left = stored(left, "left")
+    sets = stored(_sets(docs, points, left.select(F.col("x").alias("d1")).distinct(), seed), "sets")
+    with_sets = _windows(left.join(named, "x")).join(sets.select(F.col("d1").alias("x"), "shingles"), "x")
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["side", "x"])
         got = [np.frombuffer(s, np.uint64) for s in group["shingles"]]
-        links = links_within(group["x"].to_numpy(), got, group["root"].to_numpy(), group["d"].to_numpy(), group["side"].to_numpy())
+        links = links_within(group["x"].to_numpy(), got, group["root"].to_numpy(), group["side"].to_numpy())
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return with_sets.groupBy("p", "first", "second").applyInPandas(join, "a long, b long")
@@ -296,15 +377,18 @@ def jaccard_components(docs: DataFrame, *, seed: int = 0) -> DataFrame:
         clash = points.where("n_shingles > 0").groupBy("d1").agg(F.min("d2").alias("a"), F.max("d2").alias("b")).where("a <> b")
         if not clash.isEmpty():  # two sets of one name: hash anew
             return jaccard_components(docs, seed=seed + 1)
-        prefixes = stored(_prefixes(docs, sketch, seed), "prefixes")
+        # Read twice, and made twice: written, the prefixes would take more disk than making them takes time.
+        prefixes = _prefixes(docs, sketch, seed)
         shared = prefixes.groupBy("key").agg(F.min("d1").alias("p"), F.max("d1").alias("most")).where("p <> most").select("key", "p")
         pairs = stored(prefixes.join(shared, "key").where("d1 <> p").select(F.col("d1").alias("x"), "p").distinct(), "pairs")
-        wanted = stored(pairs.select(F.col("x").alias("d1")).unionByName(pairs.select(F.col("p").alias("d1"))).distinct(), "wanted")
+        wanted = pairs.select(F.col("x").alias("d1")).unionByName(pairs.select(F.col("p").alias("d1"))).distinct()
+        signatures = stored(points.select("d1", F.col("n_shingles").alias("n"), "sig").join(wanted, "d1", "left_semi").dropDuplicates(["d1"]), "signatures")
+        near = stored(_near(pairs, signatures), "near")
+        wanted = near.select(F.col("x").alias("d1")).unionByName(near.select(F.col("p").alias("d1"))).distinct()
         sets = stored(_sets(docs, points, wanted, seed), "sets")
-        distances = stored(_distances(pairs, sets), "distances")
-        links = distances.where(f"100 * common >= {PERCENT} * (n_x + n_p - common)").select(F.col("x").alias("a"), F.col("p").alias("b"))
+        links = stored(_distances(near, sets).where(may_link(F.col("n_x"), F.col("n_p"), F.col("common"))).select(F.col("x").alias("a"), F.col("p").alias("b")), "links")
         roots = components(links)
-        more = stored(_region_links(distances, roots, sets), "links")
+        more = stored(_region_links(pairs, roots, docs, points, signatures, seed), "links")
         if not more.isEmpty():
             roots = components(links.unionByName(more))
     named = points.join(roots.withColumnRenamed("node", "d1"), "d1", "left").withColumn("c", F.coalesce("root", "d1"))
