@@ -288,7 +288,7 @@ class _Fold:
             kept = [i | {"columns": [c for c in i["columns"] if c.lower() != name]} for i in table["indexes"]]
             table["indexes"] = [i for i in kept if i["columns"]]
 
-    def rows(self, project: str) -> Iterable[dict]:
+    def rows(self) -> Iterable[dict]:
         for key, name in self.databases.items():
             if key or any(k[0] == "" for k in self.tables):
                 yield {"kind": "database", "db_key": key, "name": name}
@@ -317,7 +317,7 @@ def build_catalog(docs: DataFrame) -> DataFrame:
         fold = _Fold()
         for event in events.sort_values(["file_ord", "stmt"]).itertuples():
             fold.run(event)
-        return pd.DataFrame([{"project_id": key[0]} | r for r in fold.rows(key[0])], columns=names, dtype=object)
+        return pd.DataFrame([dict.fromkeys(names) | {"project_id": key[0]} | r for r in fold.rows()], columns=names, dtype=object)
 
     return ddl_events(docs).groupBy("project_id").applyInPandas(replay, ENTRIES)
 

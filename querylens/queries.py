@@ -1,6 +1,143 @@
-"""The registered queries of the SQL analysis operators, and their SQL."""
+"""The registered queries of the SQL analysis operators, and their SQL.
+
+Rules are run over the derived corpus; what its templates state is held against what the rules find.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from querylens.functions.codepages import decoded, encoded
+from querylens.operators import catalog, report
+from querylens.operators.lint import diagnostics, findings
+from querylens.operators.tokens import pieces, statements
+from querylens.operators.translate import translate, warnings
+from querylens.plans.corpus import TEMPLATES, corpus, corpus_sql, stated_sql
+from querylens.plans.dialects import CAPABILITIES, SUPPORTED, dialect_caps
+from querylens.plans.rules import RULES, SEVERITIES, rules_table
+
+
+def lint_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = findings(corpus(spark, sf_dir))
+    return found.groupBy("doc_id", "rule").agg(F.count("*").alias("n"))
+
+
+def lint_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.by_rule(diagnostics(corpus(spark, sf_dir)))
+
+
+def lint_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.summary(diagnostics(corpus(spark, sf_dir)))
+
+
+def lint_exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus(spark, sf_dir)
+    return report.exit_codes(docs, diagnostics(docs), "warning").groupBy("exit_code").agg(F.count("*").alias("n"))
+
+
+def lint_help_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = report.with_help(diagnostics(corpus(spark, sf_dir)))
+    return shown.groupBy("doc_id").agg(F.count("help").alias("n_help"), F.count("*").alias("n"))
+
+
+def corpus_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir)
+
+
+def pieces_lose_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus(spark, sf_dir)
+    return docs.select("doc_id", F.array_join(pieces(F.col("dialect"), F.col("text")), "").alias("text"))
+
+
+def statement_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statements(corpus(spark, sf_dir)).groupBy("dialect", "kind").agg(F.count("*").alias("n"))
+
+
+def raw_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statements(corpus(spark, sf_dir)).where("is_raw").select("doc_id", "stmt", "raw_reason")
+
+
+def translate_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus(spark, sf_dir).where("target is not null")
+    return translate(docs).select("doc_id", "sql", F.array_join("codes", ",").alias("codes"), "exit_code")
+
+
+def translate_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warnings(corpus(spark, sf_dir).where("target is not null")).select("doc_id", "stmt", "code")
+
+
+def _ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history of DDL for each part: it creates, changes and renames a table of its own."""
+    key = F.col("p_partkey").cast("string")
+    text = F.concat(
+        F.lit("CREATE DATABASE shop; USE shop; CREATE TABLE t"), key, F.lit(" (id INT NOT NULL, price DECIMAL(10,2), PRIMARY KEY (id), UNIQUE KEY u1 (price)); ALTER TABLE t"), key,
+        F.lit(" ADD COLUMN c"), F.col("p_size").cast("string"), F.lit(" VARCHAR(20) NOT NULL, DROP COLUMN price; ALTER TABLE t"), key, F.lit(" RENAME TO r"), key, F.lit("; DROP TABLE gone"),
+    )
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return parts.select(F.col("p_partkey").alias("doc_id"), key.alias("project_id"), F.lit(0).cast("long").alias("file_ord"), F.lit("mysql").alias("dialect"), F.lit(None).cast("string").alias("target"), text.alias("text"))
+
+
+def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.catalog_columns(catalog.build_catalog(_ddl(spark, sf_dir)))
+
+
+def catalog_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = catalog.catalog_indexes(catalog.build_catalog(_ddl(spark, sf_dir)))
+    return found.select("project_id", "table_key", F.array_join("columns", ",").alias("columns"), F.col("unique").alias("is_unique"), F.col("primary").alias("is_primary"))
+
+
+def catalog_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.catalog_notes(catalog.build_catalog(_ddl(spark, sf_dir))).select("project_id", "kind", "subject")
+
+
+def caps_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialect_caps(spark)
+
+
+def rules_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules_table(spark).groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("enabled")).alias("n_enabled"))
+
+
+def decode_latin1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with an accent, written in an 8-bit encoding and read again; as UTF-8 they can't be read."""
+    name = F.concat("c_name", F.lit(" é€"))
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", encoded(name, "latin1").alias("content"))
+    return rows.select("c_custkey", decoded(F.col("content"), "cp1252").alias("text"), decoded(F.col("content"), "utf8").isNull().alias("utf8_fails"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (lint_findings, lint_by_rule, lint_summary, lint_exit_codes, lint_help_dedup, corpus_texts, pieces_lose_nothing, statement_kinds, raw_reasons, translate_corpus, translate_warnings, catalog_columns, catalog_indexes, catalog_notes, caps_matrix, rules_by_category, decode_latin1)
+}
+
+_SEVERITY = ", ".join(f"('{r.rule}', '{r.severity}', {SEVERITIES.index(r.severity)})" for r in RULES)
+_FOUND = f"{stated_sql()}, severities(rule, severity, severity_rank) as (values {_SEVERITY}), found as (select c.doc_id, s.rule, v.severity, v.severity_rank from corpus c join stated s using (template) join severities v using (rule))"
+_KINDS = ", ".join(f"({i}, '{w}')" for i, t in enumerate(TEMPLATES) for w in (["RAW"] if "VERSIONING" in t.text else [p.split()[0] for p in t.text.split("; ") if p[:6].isupper()] if "x;y" not in t.text and "/*!" not in t.text else ["SELECT"] * (2 if "/*!" in t.text else 1)))
+_WARN = {"QL0200": "RETURNING_DROPPED", "QL0203": "SEQUENCE_DROPPED", "QL0204": "RAW_PASSTHROUGH"}
+_WARNED = ", ".join(f"({i}, '{_WARN[r]}')" for i, t in enumerate(TEMPLATES) if t.target for r in t.rules if r in _WARN)
+_CAPS = ", ".join("(" + ", ".join([f"'{d}'", *(str(c in SUPPORTED[d]).lower() for c in CAPABILITIES)]) + ")" for d in SUPPORTED)
+_RULES = ", ".join(f"('{r.category}', {str(r.enabled).lower()})" for r in RULES)
+
+SQL: dict[str, str] = {
+    "lint_findings": f"{_FOUND} select doc_id, rule, count(*) as n from found group by all",
+    "lint_by_rule": f"{_FOUND} select rule, severity, count(*) as n, count(distinct doc_id) as n_docs from found group by all",
+    "lint_summary": f"{_FOUND} select doc_id, count_if(severity = 'error')::bigint as errors, count_if(severity = 'warning')::bigint as warnings, count_if(severity = 'info')::bigint as infos from found group by all",
+    "lint_exit_codes": f"{_FOUND} select case when worst <= 1 then 1 else 0 end as exit_code, count(*) as n from corpus left join (select doc_id, min(severity_rank) as worst from found group by all) using (doc_id) group by all",
+    "lint_help_dedup": f"{_FOUND} select doc_id, count(distinct rule) as n_help, count(*) as n from found group by all",
+    "corpus_texts": f"with {corpus_sql()} select doc_id, dialect, target, text from corpus",
+    "pieces_lose_nothing": f"with {corpus_sql()} select doc_id, text from corpus",
+    "statement_kinds": f"with {corpus_sql()}, kinds(template, kind) as (values {_KINDS}) select dialect, kind, count(*) as n from corpus join kinds using (template) group by all",
+    "raw_reasons": f"with {corpus_sql()} select doc_id, 0 as stmt, 'system_versioning' as raw_reason from corpus where text like '%VERSIONING' and dialect = 'mariadb'",
+    "translate_corpus": f"with {corpus_sql()}, warned(template, code) as (values {_WARNED}) select doc_id, case code when 'RETURNING_DROPPED' then regexp_replace(text, ' RETURNING a$', '') else replace(text, chr(10) || '; ', ';' || chr(10)) end as sql, coalesce(code, '') as codes, 0 as exit_code from corpus left join warned using (template) where target is not null",
+    "translate_warnings": f"with {corpus_sql()}, warned(template, code) as (values {_WARNED}) select doc_id, 0 as stmt, code from corpus join warned using (template)",
+    "catalog_columns": """select p_partkey::varchar as project_id, 'shop' as db_key, 'r' || p_partkey as table_key, x.key as column_key, x.key as name, x.kind as data_type, false as nullable
+        from part, lateral (values ('id', 'INT'), ('c' || p_size, 'VARCHAR(20)')) x(key, kind)""",
+    "catalog_indexes": "select p_partkey::varchar as project_id, 'r' || p_partkey as table_key, 'id' as columns, true as is_unique, true as is_primary from part",
+    "catalog_notes": "select p_partkey::varchar as project_id, 'missing_table' as kind, 'gone' as subject from part",
+    "caps_matrix": f"select * from (values {_CAPS}) t(dialect, {', '.join(CAPABILITIES)})",
+    "rules_by_category": f"select category, count(*) as n, count_if(enabled)::bigint as n_enabled from (values {_RULES}) t(category, enabled) group by all",
+    "decode_latin1": "select c_custkey, c_name || ' é€' as text, true as utf8_fails from customer",
+}
