@@ -1,0 +1,198 @@
+"""Quality operators, BPE, token files and personal data, against brute force and the library."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import pytest
+from public_tokenizers import path
+from tokenizers import Tokenizer
+
+from querylens.llm import bpe, pii, quality_fm, quality_rules, queries, token_store
+from querylens.llm.common import Words
+
+SF = "/root/testdata/sf0.001"
+VOCABULARY = str(path("word_bpe_49k.json"))
+DOCS = "doc_id long, text string, source string, ids string, score double, n_tokens long, kept boolean, spans string"
+LONG = " ".join(f"w{i % 977}x{i}" for i in range(20_000))
+TEXTS = [None, "", " \n\t", "one two three", "ΑΣ ΣΑΣ", "İstanbul", "<|endoftext|>hi<|startoftext|> x <|END|>", "don't WE'LL 'S's'd !!'s 12345", "été ́x", "a\x1cb\u0085c", "a" * 3000, "ab" * 2000, "日本語 😀😀", LONG, "\U0001a83d\u0558 x"]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "s", "x", 0.5, 1, True, "y") for i, t in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(VOCABULARY)
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def check_bpe(library, text, r):
+    ids = library.encode(text or "", add_special_tokens=False).ids
+    assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))), text
+
+
+def test_bpe_equals_the_library(spark, library, table):
+    rows = list(enumerate(TEXTS)) + [(3, "one two three"), (None, "x")]
+    encoded = bpe.encode_decode(frame(spark, rows), VOCABULARY)
+    got = bpe.digests(encoded).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        check_bpe(library, "x" if r["doc_id"] is None else TEXTS[r["doc_id"]], r)
+    for r in queries.op5_bpe(spark, SF).collect():
+        check_bpe(library, table[r["doc_id"]], r)
+    assert bpe.encode_decode(frame(spark, []), VOCABULARY).count() == 0
+
+
+def test_every_letter_class_equals_the_librarys(library):
+    encoder, _ = bpe.load(VOCABULARY)
+    texts = ["a" + chr(c) + "b" + chr(c) + " " + chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    ids, bounds = encoder.encode(texts)
+    for i, e in enumerate(library.encode_batch(texts, add_special_tokens=False)):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == e.ids, texts[i]
+
+
+def check_files(library, texts, got):
+    start = 0
+    for i, t in texts:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
+        crc = zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))
+        assert got[i] == (start, len(ids), crc), i
+        start += len(ids)
+
+
+def test_token_files(spark, library, table, tmp_path):
+    rows = list(enumerate(TEXTS))
+    token_store.write(frame(spark, rows[::-1] + [(3, "one two three")]).repartition(3), str(tmp_path / "odd"), VOCABULARY, block_ids=500)
+    stored = token_store.read(spark, str(tmp_path / "odd"))
+    assert stored.count() == len(rows) + 1
+    got = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in token_store.checksums(stored).collect())
+    assert all(a[0] + a[1] == b[0] for a, b in zip(got, got[1:], strict=False)) and [g[2] for g in got] == sorted([*range(len(rows)), 3])
+    found = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in queries.op6_token_files(spark, SF).collect()}
+    check_files(library, sorted(table.items()), found)
+    token_store.write(frame(spark, []), str(tmp_path / "none"), VOCABULARY)
+    assert token_store.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_pack_round_trip():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (1, 3, 4, 5, 1000, 70_000):
+        for top in (1, 300, 70_000):
+            ids = (rng.pareto(0.5, n) % top).astype(np.int64)
+            assert (token_store.unpack(*token_store.pack(ids), n) == ids).all()
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute_pii(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    found = [("email", m.start(), m.end()) for m in EMAIL.finditer(t)]
+    found += [("ip", m.start(), m.end()) for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+    found += [("card", m.start(), m.end()) for m in CARD.finditer(t) if 13 <= len(digits(m[0])) <= 19 and sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits(m[0])))) % 10 == 0]
+    return found + [("phone", m.start(), m.end()) for m in PHONE.finditer(t) if 9 <= len(digits(m[0])) <= 15]
+
+
+def joined(spans):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def test_pii(spark, table):
+    import random
+
+    random.seed(3)
+    odd = ["".join(random.choice("0123456789.. -+()@ab%é") for _ in range(90)) for _ in range(400)]
+    odd += ["a" * 50_000, "1" * 50_000, "a@" * 20_000, "call 555-123-4567", "order 555-123-4567", "my IBAN is GB82 WEST 1234 5698 7654 32 ok", "GB82 WEST 1234 5698 7654 33", "ssn 123-45-6789", "x@y.z 4111 1111 1111 1111 +1 (555) 123-4567 10.0.0.256 10.0.0.1", None, ""]
+    got = {r["doc_id"]: r for r in pii.digests(pii.find_pii(frame(spark, enumerate(odd)))).collect()}
+    assert len(got) == len(odd)
+    for i, t in enumerate(odd):
+        want = brute_pii(t or "")
+        count = collections.Counter(k for k, _, _ in want)
+        assert (got[i]["base_sha256"], got[i]["n_email"], got[i]["n_ip"], got[i]["n_card"], got[i]["n_phone"]) == (sha(joined(want)), *(count[k] for k in pii.BASE_KINDS))
+        assert got[i]["spans"].startswith(joined(want))
+    kinds = {t: got[i]["spans"] for i, t in enumerate(odd) if t}
+    assert kinds["call 555-123-4567"] == "national:5:17" and kinds["order 555-123-4567"] == ""
+    assert kinds["my IBAN is GB82 WEST 1234 5698 7654 32 ok"] == "iban:11:38" and "iban" not in kinds["GB82 WEST 1234 5698 7654 33"] and kinds["ssn 123-45-6789"] == "ssn:4:15"
+    for r in queries.op7_pii(spark, SF).collect():
+        assert r["base_sha256"] == sha(joined(brute_pii(table[r["doc_id"]])))
+    assert pii.find_pii(frame(spark, [])).count() == 0
+
+
+def brute_counts(text):
+    w = re.findall(r"[^ \t-\r]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^ \t-\r]", x)]
+    grams = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+    repeated = sum(any(0 <= i - k and i - k + 2 < len(w) and grams[tuple(w[i - k : i - k + 3])] > 1 for k in range(3)) for i in range(len(w)))
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), repeated
+
+
+def test_quality_rules(spark, table):
+    model = quality_rules.NgramModel()
+    texts = [*TEXTS, "a b c a b c x", "l\nl\n l\n\nl", "# * $|<> \x1c é"]
+    got = {r["doc_id"]: r for r in quality_rules.judge(frame(spark, enumerate(texts)), model).collect()}
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    for i, t in enumerate(texts):
+        assert tuple(got[i][c] for c in names) == brute_counts(t), t
+        assert got[i]["base_failed"] == (brute_counts(t)[0] < 50 or 100 * brute_counts(t)[4] > 50 * brute_counts(t)[0])
+    for r in queries.op4_quality_rules(spark, SF).collect():
+        assert tuple(r[c] for c in names) == brute_counts(table[r["doc_id"]]) and not (r["base_failed"] and r["kept"])
+    assert quality_rules.judge(frame(spark, []), model).count() == 0
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    return docs, spark.read.parquet(f"{sf}/labels.parquet")
+
+
+def test_quality_on_held_out_rows(spark, labelled):
+    docs, labels = labelled
+    known = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = quality_fm.with_score(docs, quality_fm.fit(docs, labels)).select("doc_id", "score").collect()
+    held = [(r["score"] >= 0.5) == (known[r["doc_id"]] == 1) for r in rows if r["doc_id"] in known and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    assert len(held) > 500 and sum(held) / len(held) > 0.97
+    rules = quality_rules.judge(docs, quality_rules.fit(docs, labels)).select("doc_id", "probability").collect()
+    good = [r["probability"] for r in rules if known.get(r["doc_id"]) == 1]
+    bad = [r["probability"] for r in rules if known.get(r["doc_id"]) == 0]
+    assert sum(p >= 0.3 for p in good) / len(good) > 0.97 and sum(p < 0.3 for p in bad) / len(bad) > 0.8
+
+
+def test_factorisation_machine_odd_rows(spark):
+    docs = frame(spark, list(enumerate(TEXTS)) + [(3, "one two three")])
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r["score"] for r in quality_fm.with_score(docs, quality_fm.fit(docs, none)).select("score").collect()} == {0.5}
+    some = spark.createDataFrame([(3, 1, 0), (7, None, 0), (10, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = quality_fm.with_score(docs, quality_fm.fit(docs, some), "s").select("s").collect()
+    assert len(got) == len(TEXTS) + 1 and all(0 <= r["s"] <= 1 for r in got)
+    assert quality_fm.with_score(frame(spark, []), quality_fm.fit(docs, none), "s").count() == 0
+
+
+def test_sum_of_squares_identity():
+    import numpy as np
+
+    model = quality_fm.FactorisationMachine()
+    index, values, bounds = quality_fm.features([b"a b c a", b""], [3, None])
+    for k, m in enumerate(model.margin(index, values, bounds)):
+        own = range(bounds[k], bounds[k + 1])
+        pairs = sum(values[i] * values[j] * model.factors[index[i]] @ model.factors[index[j]] for i in own for j in own if i < j)
+        assert np.isclose(m, pairs + model.bias)
+
+
+def test_words():
+    w = Words([b"a b\x0ba", b"", b" b"])
+    assert w.counts.tolist() == [3, 0, 1] and w.unique[w.codes].tolist() == [b"a", b"b", b"a", b"b"]
