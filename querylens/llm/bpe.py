@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import ends, pieces, text_or_empty
 
-#: Chunks of text whose ids a Python worker remembers, at most.
-REMEMBERED = 400_000
+#: Chunks of text whose ids a Python worker remembers, at most; beyond that it forgets those it met but once.
+REMEMBERED = 700_000
 
 
 def byte_symbols() -> list[str]:
@@ -150,15 +150,19 @@ class Merges:
         return symbols[order], ends(np.bincount(word, minlength=len(words)))
 
 
-    def encode_chunks(self, chunks: Sequence[str], cutter: Cutter) -> tuple[np.ndarray, np.ndarray]:
-        """The same for chunks of one or more words; each distinct word is merged once."""
+def by_words(encode):
+    """From ``encode`` for distinct words to the same for chunks of one or more words."""
+
+    def encode_chunks(chunks: Sequence[str], cutter: Cutter) -> tuple[np.ndarray, np.ndarray]:
         cut = [cutter.words(c) for c in chunks]
         number: dict[str, int] = {}
         flat = np.array([number.setdefault(w, len(number)) for words in cut for w in words], dtype=np.int64)
-        ids, bounds = self.encode([*number])
+        ids, bounds = encode([*number])
         ids, at = gather(ids, bounds, flat)
         return ids, at[ends([len(words) for words in cut])]
 
+    return encode_chunks
+
 
 def gather(values: np.ndarray, bounds: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Slices number ``chosen`` of ``values``, one after the other, and their bounds."""
@@ -184,15 +188,23 @@ class TextEncoder:
 
     def __init__(self, cutter: Cutter, encode_chunks):
         self.cutter, self.encode_chunks = cutter, encode_chunks
-        self.forget()
-
-    def forget(self) -> None:
-        self.number = Numbers()
-        self.ids, self.bounds = np.zeros(0, np.int64), np.zeros(1, np.int64)
-        for name, i in self.cutter.special.items():
+        self.number, self.ids, self.bounds, self.used = Numbers(), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        for name, i in cutter.special.items():
             self._learn(np.array([i]), np.array([0, 1])) if self.number[name] >= 0 else None
         self.number.new.clear()
 
+    def forget(self) -> None:
+        """Keep special tokens and what was met often enough: more than once, or more, until half is gone."""
+        special, often = len(self.cutter.special), 1
+        while (self.used > often).sum() > REMEMBERED // 2:
+            often *= 2
+        keep = np.flatnonzero((self.used > often) | (np.arange(len(self.used)) < special))
+        names, number = [*self.number], Numbers()
+        for i in keep.tolist():
+            number[names[i]] = len(number)
+        self.ids, self.bounds = gather(self.ids, self.bounds, keep)
+        self.number, self.used = number, self.used[keep] // 2
+
     def _learn(self, ids: np.ndarray, bounds: np.ndarray) -> None:
         self.bounds = np.concatenate([self.bounds, bounds[1:] + len(self.ids)])
         self.ids = np.concatenate([self.ids, ids])
@@ -210,6 +222,9 @@ class TextEncoder:
         if self.number.new:
             self._learn(*self.encode_chunks(self.number.new, self.cutter))
             self.number.new.clear()
+        met = np.bincount(number, minlength=len(self.number))
+        met[: len(self.used)] += self.used
+        self.used = met
         ids, at = gather(self.ids, self.bounds, number)
         return ids, at[ends(counts)]
 
@@ -220,7 +235,7 @@ def load(path: str) -> tuple[TextEncoder, dict[int, str]]:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     merges = Merges(spec)
-    return TextEncoder(Cutter(path, spec), merges.encode_chunks), merges.token
+    return TextEncoder(Cutter(path, spec), by_words(merges.encode)), merges.token
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:

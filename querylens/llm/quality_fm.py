@@ -69,7 +69,7 @@ def features(texts: Sequence[bytes], stated: Sequence) -> tuple[np.ndarray, np.n
     steps.append(np.array([len(set(x)) * (STEPS - 1) // max(len(x), 1) for x in lines], dtype=np.int64))
     steps.append(_step(most / total))
     size = np.array([-1 if s is None or s != s else max(s, 0) for s in stated], dtype=float)
-    steps.append(np.where(size < 0, STEPS - 1, np.clip(np.log2(size + 1) / 2, 0, STEPS - 2)).astype(np.int64))
+    steps.append(np.where(size < 0, STEPS - 1, np.clip(np.log2(np.maximum(size, 0) + 1) / 2, 0, STEPS - 2)).astype(np.int64))
     fixed = np.stack(steps, axis=1) + (1 << BITS) + STEPS * np.arange(len(STATISTICS))
     # Each text's words, then its statistics.
     order = np.argsort(np.concatenate([owner, np.repeat(np.arange(n), len(STATISTICS))]), kind="stable")

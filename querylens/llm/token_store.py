@@ -19,7 +19,6 @@ empty file set; repeated rows are stored each; other columns are ignored.
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -29,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Cutter, TextEncoder
+from .bpe import Cutter, TextEncoder, by_words, byte_symbols
 from .common import ends, pieces, text_or_empty
 
 BLOCK_IDS = 1 << 18
@@ -43,11 +42,12 @@ LENGTHS = np.stack([(np.arange(256) >> (2 * k) & 3) + 1 for k in range(4)], axis
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """``table, control, data`` of an array of ids."""
-    known, inverse, count = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((known, -count))
-    rank = np.empty(len(known), dtype=np.int64)
-    rank[order] = np.arange(len(known))
-    ranks = rank[inverse]
+    count = np.bincount(ids)
+    known = np.flatnonzero(count)
+    order = np.lexsort((known, -count[known]))
+    rank = np.zeros(len(count), dtype=np.int64)
+    rank[known[order]] = np.arange(len(known))
+    ranks = rank[ids]
     size = 1 + (ranks > 0xFF).astype(np.int64) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     codes = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
     codes[: len(ranks)] = size - 1
@@ -71,24 +71,20 @@ def unpack(table: bytes, control: bytes, data: bytes, n: int) -> np.ndarray:
 
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> TextEncoder:
-    """Texts through the ``tokenizers`` library, each distinct chunk once."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    """Texts through the ``tokenizers`` library: its normaliser and pattern where they matter, its model for each distinct word."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
+    tokenize = Tokenizer.from_file(path).model.tokenize
+    # The model takes words as the file's byte-level step leaves them: a character for each byte.
+    symbols = dict(enumerate(byte_symbols()))
 
-    def encode_chunks(chunks: Sequence[str], cutter: Cutter) -> tuple[np.ndarray, np.ndarray]:
-        # A special token between them keeps their ids apart; it never stands within a chunk.
-        between, mark = next(iter(cutter.special.items()))
-        groups = [between.join(chunks[i : i + 500]) + between for i in range(0, len(chunks), 500)]
-        ids = np.array([i for e in tokenizer.encode_batch_fast(groups, add_special_tokens=False) for i in e.ids], dtype=np.int64)
-        marks = np.flatnonzero(ids == mark)
-        return np.delete(ids, marks), np.concatenate([[0], marks - np.arange(len(marks))])
+    def encode(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [[t.id for t in tokenize(w.encode().decode("latin-1").translate(symbols))] for w in words]
+        bounds = ends([len(x) for x in found])
+        return np.fromiter((i for x in found for i in x), dtype=np.int64, count=int(bounds[-1])), bounds
 
     with open(path, encoding="utf-8") as f:
-        return TextEncoder(Cutter(path, json.load(f)), encode_chunks)
+        return TextEncoder(Cutter(path, json.load(f)), by_words(encode))
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, *, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
