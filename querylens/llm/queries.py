@@ -90,3 +90,19 @@ best as (
 select p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') as verdict
 from parts p left join best b on p.host = b.host and p.path = b.path
 """
+
+SQL["op1_ngram_jaccard_join"] = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+sets as (
+  select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                      when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s
+  from words),
+flat as (select doc_id, len(s) as n, unnest(s) as shingle from sets),
+links as (
+  select a.doc_id as a, b.doc_id as b from flat a join flat b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(a, b) as (select doc_id, doc_id from sets union select r.a, l.b from reach r join links l on r.b = l.a)
+select s.doc_id, len(s.s) as n_shingles, min(r.b) as component_id from sets s join reach r on s.doc_id = r.a group by s.doc_id, s.s
+"""
