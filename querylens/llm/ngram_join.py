@@ -34,7 +34,6 @@ import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -325,8 +324,44 @@ def with_partners(size: np.ndarray, sigs: list[np.ndarray], component: np.ndarra
     return out
 
 
+#: The columns that name a window.
+WINDOW = ("p", "first_band", "first_block", "second_band", "second_block")
+
+
+def _by_window(rows: DataFrame, content: str, work, schema: str) -> DataFrame:
+    """``work(x, n, root, side, contents)`` of each window gives rows of pairs of ids; windows stream through the tasks in order.
+
+    Most windows hold a few points: they are cut from whole Arrow batches, without a frame of their own each.
+    """
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def results(table: pa.Table, whole: bool):
+            columns = [table.column(i).to_numpy() for i in range(9)]
+            contents = table.column(9).to_pylist()
+            p, side, x, n, root = columns[0], *columns[5:]
+            starts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:5]], axis=0)) + 1).tolist(), len(p)]
+            last = len(starts) - (1 if whole else 2)
+            found = [work(p[a], x[a:b], n[a:b], root[a:b], side[a:b], contents[a:b]) for a, b in zip(starts[:last], starts[1 : last + 1], strict=True)]
+            pairs = [r for f in found for r in f]
+            made = pa.RecordBatch.from_arrays([pa.array([r[k] for r in pairs], pa.int64()) for k in (0, 1)], names)
+            return made, table.slice(starts[last]) if not whole else None
+
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                made, held = results(table if held is None else pa.concat_tables([held, table]), False)
+                yield made
+        if held is not None:
+            yield results(held, True)[0]
+
+    dealt = rows.select(*WINDOW, "side", "x", "n", "root", content)
+    return dealt.repartition(*WINDOW).sortWithinPartitions(*WINDOW, "side", "x").mapInArrow(run, schema)
+
+
 def _windows(members: DataFrame) -> DataFrame:
-    """``p, x, n, root`` dealt to windows: ``p, first, second`` name a group, ``side`` the part of it that a point is of.
+    """``p, x, n, root`` dealt to windows: ``WINDOW`` names a group, ``side`` the part of it that a point is of.
 
     A region of one block is one group. In others, cells (size band, block) of one or neighbouring bands meet in pairs.
     """
@@ -341,7 +376,9 @@ def _windows(members: DataFrame) -> DataFrame:
     nowhere = F.struct(F.lit(0).alias("band"), F.lit(0).alias("block"))
     m = m.withColumn("other", F.explode(F.when(small, F.array(nowhere)).otherwise(F.concat(cells(-1), cells(0), cells(1)))))
     m = m.withColumn("own", F.when(small, nowhere).otherwise(F.struct("band", "block")))
-    return m.select("p", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), (F.col("own") > F.col("other")).cast("int").alias("side"), "x", "n", "root")
+    m = m.withColumns({"first": F.least("own", "other"), "second": F.greatest("own", "other")})
+    side = (F.col("own") > F.col("other")).cast("long").alias("side")
+    return m.select("p", *(F.col(f"{e}.{c}").cast("long").alias(f"{e}_{c}") for e in ("first", "second") for c in ("band", "block")), side, "x", "n", "root")
 
 
 def _region_links(pairs: DataFrame, roots: DataFrame, docs: DataFrame, points: DataFrame, signatures: DataFrame, seed: int) -> DataFrame:
@@ -352,22 +389,19 @@ def _region_links(pairs: DataFrame, roots: DataFrame, docs: DataFrame, points: D
     members = stored(members.join(several, "p"), "members")
     with_sig = _windows(members).join(signatures.select(F.col("d1").alias("x"), "sig"), "x")
 
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        sigs = [np.frombuffer(s, "<u2") for s in group["sig"]]
-        return group.loc[with_partners(group["n"].to_numpy(), sigs, group["root"].to_numpy(), group["side"].to_numpy()), ["p", "x"]]
+    def keep(p, x, n, root, side, sigs):
+        stay = with_partners(n, [np.frombuffer(s, "<u2") for s in sigs], root, side)
+        return [(p, i) for i in x[stay]]
 
-    left = with_sig.groupBy("p", "first", "second").applyInPandas(keep, "p long, x long").distinct()
+    left = _by_window(with_sig, "sig", keep, "p long, x long").distinct()
     left = stored(left, "left")
     sets = stored(_sets(docs, points, left.select(F.col("x").alias("d1")).distinct(), seed), "sets")
     with_sets = _windows(left.join(named, "x")).join(sets.select(F.col("d1").alias("x"), "shingles"), "x")
 
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["side", "x"])
-        got = [np.frombuffer(s, np.uint64) for s in group["shingles"]]
-        links = links_within(group["x"].to_numpy(), got, group["root"].to_numpy(), group["side"].to_numpy())
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+    def join(p, x, n, root, side, sets):
+        return links_within(x, [np.frombuffer(s, np.uint64) for s in sets], root, side)
 
-    return with_sets.groupBy("p", "first", "second").applyInPandas(join, "a long, b long")
+    return _by_window(with_sets, "shingles", join, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, *, seed: int = 0) -> DataFrame:
@@ -393,7 +427,8 @@ def jaccard_components(docs: DataFrame, *, seed: int = 0) -> DataFrame:
             roots = components(links.unionByName(more))
     named = points.join(roots.withColumnRenamed("node", "d1"), "d1", "left").withColumn("c", F.coalesce("root", "d1"))
     linked = named.where("n_shingles > 0")
-    least = linked.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that the join below is one of two plain tables, whose large keys Spark can split.
+    least = stored(linked.groupBy("c").agg(F.min("doc_id").alias("component_id")), "least")
     out = linked.join(least, "c").select("doc_id", "n_shingles", "component_id")
     return out.unionByName(points.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
