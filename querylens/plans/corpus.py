@@ -17,13 +17,14 @@ class Template(NamedTuple):
     target: str | None
     text: str
     rules: tuple[str, ...]
+    off: tuple[str, ...] = ()  # of the rules that are off by default
 
 
 T = Template
 TEMPLATES = (
     T("mysql", None, "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = {k}", ()),
     T("mysql", None, "SELECT * FROM orders WHERE o_orderkey = {k}", ("QL0500",)),
-    T("generic", None, "SELECT o.* FROM orders o WHERE o.o_orderkey = {k}", ()),
+    T("generic", None, "SELECT o.* FROM orders o WHERE o.o_orderkey = {k}", (), ("QL0501",)),
     T("generic", None, "SELECT c_name FROM customer, orders WHERE c_custkey = o_custkey AND o_orderkey = {k}", ("QL0300",)),
     T("mysql", None, "SELECT c_name FROM customer CROSS JOIN orders", ("QL0301",)),
     T("mysql", None, "SELECT c_name FROM customer CROSS JOIN orders WHERE o_orderkey = {k}", ()),
@@ -81,9 +82,9 @@ TEMPLATES = (
     T("mysql", "postgres", "INSERT INTO t (a) VALUES ({k}) ON DUPLICATE KEY UPDATE a = a + 1", ("QL0201",)),
     T("postgres", "mysql", "INSERT INTO t (a) VALUES ({k}) ON CONFLICT (a) DO UPDATE SET a = EXCLUDED.a", ("QL0202",)),
     T("postgres", "mysql", "CREATE SEQUENCE s{k} START WITH {k}", ("QL0203",)),
-    T("mariadb", "postgres", "CREATE TABLE a{k} (id INT) WITH SYSTEM VERSIONING", ("QL0204",)),
+    T("mariadb", "postgres", "CREATE TABLE a{k} (id INT) WITH SYSTEM VERSIONING", ("QL0204",), ("QL0001",)),
     T("mariadb", "mariadb", "SELECT /*!50000 a, */ b FROM t WHERE c = {k} -- it's\n; SELECT 1", ()),
-    T("mysql", None, 'SELECT a FROM t WHERE b = "x;y" # a comment; with SELECT *\n AND c = {k}', ()),
+    T("mysql", None, 'SELECT a FROM t WHERE b = "x;y" # a comment; with SELECT *\n AND c = {k}', (), ("QL0506",)),
 )
 
 
@@ -108,7 +109,7 @@ corpus as (select o_orderkey as doc_id, dialect, target, replace(pattern, '{{k}}
            from orders o join templates t on o.o_orderkey % {len(TEMPLATES)} = t.template)"""
 
 
-def stated_sql() -> str:
-    """What the templates state, as DuckDB relations ``corpus`` and ``stated(template, rule)``."""
-    rows = ", ".join(f"({i}, '{r}')" for i, t in enumerate(TEMPLATES) for r in t.rules)
+def stated_sql(off: bool = False) -> str:
+    """What the templates state, as DuckDB relations ``corpus`` and ``stated(template, rule)``; with the rules that are off by default or without."""
+    rows = ", ".join(f"({i}, '{r}')" for i, t in enumerate(TEMPLATES) for r in (*t.rules, *(t.off if off else ())))
     return f"with {corpus_sql()}, stated(template, rule) as (values {rows})"

@@ -25,6 +25,12 @@ def lint_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "rule").agg(F.count("*").alias("n"))
 
 
+def lint_all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those that are off by default as well."""
+    found = findings(corpus(spark, sf_dir), rules=[r.rule for r in RULES])
+    return found.groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
 def lint_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.by_rule(diagnostics(corpus(spark, sf_dir)))
 
@@ -110,7 +116,7 @@ def decode_latin1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (lint_findings, lint_by_rule, lint_summary, lint_exit_codes, lint_help_dedup, corpus_texts, pieces_lose_nothing, statement_kinds, raw_reasons, translate_corpus, translate_warnings, catalog_columns, catalog_indexes, catalog_notes, caps_matrix, rules_by_category, decode_latin1)
+    for f in (lint_findings, lint_all_rules, lint_by_rule, lint_summary, lint_exit_codes, lint_help_dedup, corpus_texts, pieces_lose_nothing, statement_kinds, raw_reasons, translate_corpus, translate_warnings, catalog_columns, catalog_indexes, catalog_notes, caps_matrix, rules_by_category, decode_latin1)
 }
 
 _SEVERITY = ", ".join(f"('{r.rule}', '{r.severity}', {SEVERITIES.index(r.severity)})" for r in RULES)
@@ -123,6 +129,7 @@ _RULES = ", ".join(f"('{r.category}', {str(r.enabled).lower()})" for r in RULES)
 
 SQL: dict[str, str] = {
     "lint_findings": f"{_FOUND} select doc_id, rule, count(*) as n from found group by all",
+    "lint_all_rules": f"{stated_sql(off=True)} select rule, count(*) as n, count(distinct doc_id) as n_docs from corpus join stated using (template) group by all",
     "lint_by_rule": f"{_FOUND} select rule, severity, count(*) as n, count(distinct doc_id) as n_docs from found group by all",
     "lint_summary": f"{_FOUND} select doc_id, count_if(severity = 'error')::bigint as errors, count_if(severity = 'warning')::bigint as warnings, count_if(severity = 'info')::bigint as infos from found group by all",
     "lint_exit_codes": f"{_FOUND} select case when worst <= 1 then 1 else 0 end as exit_code, count(*) as n from corpus left join (select doc_id, min(severity_rank) as worst from found group by all) using (doc_id) group by all",
@@ -141,3 +148,33 @@ SQL: dict[str, str] = {
     "rules_by_category": f"select category, count(*) as n, count_if(enabled)::bigint as n_enabled from (values {_RULES}) t(category, enabled) group by all",
     "decode_latin1": "select c_custkey, c_name || ' é€' as text, true as utf8_fails from customer",
 }
+
+#: What rules warn of, run over the tables: each counts the flagged form and the advised one. The same text runs in both engines.
+EVIDENCE = {
+    "evidence_not_in_nulls": """select (select count(*) from {orders} where o_custkey not in (select case when c_custkey % 7 = 0 then null else c_custkey end from {customer})) as not_in,
+        (select count(*) from {orders} o where not exists (select 1 from {customer} c where c_custkey % 7 <> 0 and c.c_custkey = o.o_custkey)) as not_exists""",
+    "evidence_equals_null": "select count(case when x = null then 1 end) as equals_null, count(case when x is null then 1 end) as is_null from (select nullif(p_size, 10) as x from {part}) t",
+    "evidence_count_column": "select p_brand, count(x) as of_column, count(*) as of_rows from (select p_brand, nullif(p_size, 10) as x from {part}) t group by p_brand",
+    "evidence_and_or": """select count(case when p_size = 1 or p_size = 2 and p_partkey % 2 = 0 then 1 end) as bare, count(case when (p_size = 1 or p_size = 2) and p_partkey % 2 = 0 then 1 end) as grouped from {part}""",
+    "evidence_or_union": """select (select count(*) from {orders} where o_custkey = 7 or o_orderstatus = 'F') as with_or,
+        (select count(*) from (select o_orderkey from {orders} where o_custkey = 7 union all select o_orderkey from {orders} where o_orderstatus = 'F' and o_custkey <> 7) t) as with_union""",
+    "evidence_full_outer": """select (select count(*) from {customer} full outer join {orders} on c_custkey = o_custkey) as full_outer,
+        (select count(*) from {customer} left join {orders} on c_custkey = o_custkey) + (select count(*) from {orders} where not exists (select 1 from {customer} where c_custkey = o_custkey)) as emulated""",
+    "evidence_group_position": "select o_orderstatus as status, count(*) as n from {orders} group by 1",
+    "evidence_in_exists": """select (select count(*) from {customer} where c_custkey in (select o_custkey from {orders})) as with_in,
+        (select count(*) from {customer} where exists (select 1 from {orders} where o_custkey = c_custkey)) as with_exists""",
+    "evidence_distinct_join": "select (select count(distinct c_custkey) from {customer} join {orders} on c_custkey = o_custkey) as with_distinct, (select count(*) from {customer} where c_custkey in (select o_custkey from {orders})) as semi_join",
+}
+
+
+def _evidence(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        names = [n for n in ("orders", "customer", "part") if "{" + n + "}" in text]
+        return spark.sql(text, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+
+    return run
+
+
+for _name, _text in EVIDENCE.items():
+    QUERIES[_name] = _evidence(_text)
+    SQL[_name] = _text.replace("{", "").replace("}", "")
