@@ -7,7 +7,7 @@ certain copies of each document; the rest is a Pareto sample: with inclusion pro
 uniform u from the document's hash, documents rank by the odds u/(1-u) divided by p/(1-p), and the
 lowest are taken until their words come nearest to what is still due.
 
-The uniform depends on the seed, the document's id and text, so reruns agree. Null and empty texts
+The uniform depends on the seed and the document's id, so reruns agree; equal ones are told apart by the text's hash. Null and empty texts
 have size 0 and take nothing. Repeated rows are rows of their own and rank by a stable tie order;
 empty tables give empty results; other columns are kept by :func:`mix` and ignored by the query.
 
@@ -64,7 +64,8 @@ def _ranked(sized: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     rows = sized.join(plan, sized["source"].eqNullSafe(F.col("p_source")))
     p = F.col("p_due") * F.col("m_worth") / F.when(F.col("p_worth_size") > 0, F.col("p_worth_size")).otherwise(1.0)
     p = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("m_hash")), 12)
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    bits = F.conv(F.substring(F.sha2(name, 256), 1, 13), 16, 10).cast("long")  # 52 bits
     u = (bits.cast("double") + 0.5) / F.lit(float(1 << 52))
     odds = (u * (1 - p)) / ((1 - u) * p)
     rows = rows.withColumn("m_rank", odds / (1 + odds))

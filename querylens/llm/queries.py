@@ -106,3 +106,24 @@ links as (
 reach(a, b) as (select doc_id, doc_id from sets union select r.a, l.b from reach r join links l on r.b = l.a)
 select s.doc_id, len(s.s) as n_shingles, min(r.b) as component_id from sets s join reach r on s.doc_id = r.a group by s.doc_id, s.s
 """
+
+SQL["op8_pareto_mix"] = r"""
+with docs as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, sha256('8:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+sources as (
+  select source, sum(size)::bigint as source_size, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight from docs group by source),
+-- Capped are the sources of the least 3 * size / weight, until what is left shares out below the next one's cap.
+ordered as (
+  select *, 3 * source_size as cap, row_number() over o as nth, sum(source_size) over () - coalesce(sum(3 * source_size) over (o rows between unbounded preceding and 1 preceding), 0) as due, sum(weight) over (o rows between current row and unbounded following) as weights
+  from sources window o as (order by 3 * source_size / weight, source nulls last)),
+level as (select due, weights from ordered where due * weight <= cap * weights order by nth limit 1),
+targets as (
+  select o.source, o.source_size, case when o.due * o.weight <= o.cap * o.weights then (o.weight * l.due)::double / l.weights::double else o.cap::double end as target from ordered o, level l),
+plan as (
+  select *, least(floor(case when source_size > 0 then target / source_size else 0 end + 1e-12), 3)::bigint as certain from targets),
+ranked as (
+  select d.*, p.source_size, p.target, p.certain, greatest(p.target - p.certain * p.source_size, 0) as due,
+         sum(size) over (partition by d.source order by substr(h, 1, 13), doc_id rows unbounded preceding) as so_far
+  from docs d join plan p on d.source is not distinct from p.source)
+select doc_id, size, source_size, target, (size * least(certain + case when due > 0 and so_far - size / 2 <= due then 1 else 0 end, 3))::bigint as taken from ranked
+"""
