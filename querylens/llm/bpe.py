@@ -25,10 +25,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ends, pieces, text_or_empty
+from .common import ends, pieces, slices, text_or_empty
 
 #: Chunks of text whose ids a Python worker remembers, at most; beyond that it forgets those it met but once.
-REMEMBERED = 700_000
+REMEMBERED = 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -186,8 +186,8 @@ class Numbers(dict):
 class TextEncoder:
     """Ids of whole texts. ``encode_chunks`` gives the flat ids and bounds of distinct chunks."""
 
-    def __init__(self, cutter: Cutter, encode_chunks):
-        self.cutter, self.encode_chunks = cutter, encode_chunks
+    def __init__(self, cutter: Cutter, encode_chunks, remembered: int = REMEMBERED):
+        self.cutter, self.encode_chunks, self.remembered = cutter, encode_chunks, remembered
         self.number, self.ids, self.bounds, self.used = Numbers(), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
         for name, i in cutter.special.items():
             self._learn(np.array([i]), np.array([0, 1])) if self.number[name] >= 0 else None
@@ -196,7 +196,7 @@ class TextEncoder:
     def forget(self) -> None:
         """Keep special tokens and what was met often enough: more than once, or more, until half is gone."""
         special, often = len(self.cutter.special), 1
-        while (self.used > often).sum() > REMEMBERED // 2:
+        while (self.used > often).sum() > self.remembered // 2:
             often *= 2
         keep = np.flatnonzero((self.used > often) | (np.arange(len(self.used)) < special))
         names, number = [*self.number], Numbers()
@@ -211,7 +211,7 @@ class TextEncoder:
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, flat, and the bounds of each."""
-        if len(self.number) > REMEMBERED:
+        if len(self.number) > self.remembered:
             self.forget()
         cut, chunks, counts = self.cutter.chunks, [], []
         for t in texts:
@@ -246,7 +246,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, token = load(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             for a, b in pieces(texts):
                 ids, bounds = encoder.encode(texts[a:b])

@@ -11,6 +11,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +81,15 @@ def pieces(texts: Sequence, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int
         yield start, len(texts)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices, so that few of their rows are Python objects at a time; what is freed goes back at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 class Words:
     """The words of some texts: ``codes`` into ``unique``, those of text i at ``bounds[i]:bounds[i + 1]``."""
 

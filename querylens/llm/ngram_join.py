@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import gather
-from .common import Words, ends, mix64, pieces, settings, stored, text_or_empty
+from .common import Words, ends, mix64, pieces, settings, slices, stored, text_or_empty
 from .components import components
 
 SHINGLE = 5
@@ -142,12 +142,13 @@ def _points(docs: DataFrame, seed: int) -> tuple[DataFrame, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_shingles", "d1", "d2", "sig", "chunk", "counts"]
-        counts = np.zeros(1 << BITS, np.int64)
-        for batch in batches:
+        counts = np.zeros(1 << BITS, np.uint32)
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             for a, b in pieces(texts):
                 sets = shingle_sets(texts[a:b], seed=seed)
-                counts += np.bincount(_slots(np.concatenate(sets)), minlength=1 << BITS)
+                slots, times = np.unique(_slots(np.concatenate(sets)), return_counts=True)
+                counts[slots] += times.astype(np.uint32)
                 d1, d2 = digest(sets)
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(d1), pa.array(d2), pa.array([signature(x).tobytes() for x in sets], pa.binary()), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], names)
@@ -167,7 +168,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(0).to_pylist()
             for a, b in pieces(texts):
                 sets = shingle_sets(texts[a:b], seed=seed)
@@ -203,7 +204,7 @@ def _sets(docs: DataFrame, points: DataFrame, wanted: DataFrame, seed: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         member = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             names = batch.column(0).to_pylist()
             slots = _slots(mix64(np.array([n or 0 for n in names], dtype=np.int64).view(np.uint64)))
             picked = [i for i, (n, s) in enumerate(zip(names, slots.tolist(), strict=True)) if n is None or member[s]]

@@ -152,7 +152,7 @@ def with_score(docs: DataFrame, model: FactorisationMachine, name: str = "score"
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, stated in batches:
             texts, stated = texts.tolist(), stated.tolist()
-            yield pd.Series(np.concatenate([shared.value.score(texts[a:b], stated[a:b]) for a, b in pieces(texts)] or [np.zeros(0)]))
+            yield pd.Series(np.concatenate([shared.value.score(texts[a:b], stated[a:b]) for a, b in pieces(texts, 500_000)] or [np.zeros(0)]))
 
     # Not to be evaluated once more where a filter on the score is pushed down.
     return docs.withColumn(name, score.asNondeterministic()(text_or_empty().cast("binary"), _stated(docs)))

@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Cutter, TextEncoder, by_words, byte_symbols
-from .common import ends, pieces, text_or_empty
+from .common import ends, pieces, slices, text_or_empty
 
 BLOCK_IDS = 1 << 18
 END_ID = 2
+#: This encoder runs in jobs of its own and has room for more.
+REMEMBERED = 700_000
 
 BLOCKS = "part int, block int, start long, n_ids long, doc_ids array<long>, sizes array<long>, table binary, control binary, data binary"
 
@@ -84,7 +86,7 @@ def library_encoder(path: str) -> TextEncoder:
         return np.fromiter((i for x in found for i in x), dtype=np.int64, count=int(bounds[-1])), bounds
 
     with open(path, encoding="utf-8") as f:
-        return TextEncoder(Cutter(path, json.load(f)), by_words(encode))
+        return TextEncoder(Cutter(path, json.load(f)), by_words(encode), remembered=REMEMBERED)
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, *, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
@@ -105,7 +107,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, *, end_id: int = END_ID,
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [c.split(" ")[0] for c in BLOCKS.split(", ")])
 
-        for batch in batches:
+        for batch in slices(batches):
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in pieces(texts):
                 flat, bounds = encoder.encode(texts[a:b])
