@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pandas as pd
@@ -81,13 +82,20 @@ def pieces(texts: Sequence, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int
         yield start, len(texts)
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: Python workers live on between tasks and stages, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Arrow batches in slices, so that few of their rows are Python objects at a time; what is freed goes back at once."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
         del batch
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 class Words:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_CONTINUATION, Words, byte_table, ends, mix64, pieces, sums, text_or_empty
+from .common import IS_CONTINUATION, Words, byte_table, ends, give_back, mix64, pieces, sums, text_or_empty
 from .labelled import SAMPLE_ROWS, labelled_sample
 
 RANK, BITS = 8, 16
@@ -153,6 +153,7 @@ def with_score(docs: DataFrame, model: FactorisationMachine, name: str = "score"
         for texts, stated in batches:
             texts, stated = texts.tolist(), stated.tolist()
             yield pd.Series(np.concatenate([shared.value.score(texts[a:b], stated[a:b]) for a, b in pieces(texts, 500_000)] or [np.zeros(0)]))
+            give_back()
 
     # Not to be evaluated once more where a filter on the score is pushed down.
     return docs.withColumn(name, score.asNondeterministic()(text_or_empty().cast("binary"), _stated(docs)))
