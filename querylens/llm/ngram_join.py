@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import gather
-from .common import Words, ends, mix64, pieces, settings, slices, stored, text_or_empty
+from .common import Words, ends, mix64, pieces, settings, slices, stored, sums, text_or_empty
 from .components import components
 
 SHINGLE = 5
@@ -300,8 +300,11 @@ def links_within(ids: np.ndarray, sets: list[np.ndarray], component: np.ndarray,
     return found
 
 
-def with_partners(size: np.ndarray, sigs: list[np.ndarray], component: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """Of each point, whether its signature allows a link to one of another component (and of the other side, if there are two)."""
+def with_partners(size: np.ndarray, sigs: list[np.ndarray], component: np.ndarray, side: np.ndarray, meet=None) -> np.ndarray:
+    """Of each point, whether its signature allows a link to one of another component (and of the other side, if there are two).
+
+    ``meet``, from :func:`meeting`, leaves out pairs that meet in another region.
+    """
     out = np.zeros(len(sigs), dtype=bool)
     one_side = not (side == 1).any()
     width = np.array([len(s) for s in sigs])
@@ -317,6 +320,8 @@ def with_partners(size: np.ndarray, sigs: list[np.ndarray], component: np.ndarra
             if not one_side:
                 other &= side[rows] != side[q]
             at = np.flatnonzero(other)
+            if meet and len(at):
+                at = at[meet(q, rows[at])]
             if len(at):
                 common = np.minimum(own[at], own[k]).sum(axis=1)
                 hit = rows[at[may_link(size[rows[at]], size[q], common)]]
@@ -325,6 +330,55 @@ def with_partners(size: np.ndarray, sigs: list[np.ndarray], component: np.ndarra
     return out
 
 
+def meeting(lesser: Sequence[Sequence[int]]):
+    """From each point's pivots below the region's own: ``meet(q, others)``, which of these share none of them with q.
+
+    Points that share several pivots meet in the region of the least one only.
+    """
+    values, flat = np.unique(np.array([p for own in lesser for p in own], dtype=np.int64), return_inverse=True)
+    bounds = ends([len(own) for own in lesser])
+    here = np.zeros(len(values), dtype=bool)
+
+    def meet(q: int, others: np.ndarray) -> np.ndarray:
+        own = flat[bounds[q] : bounds[q + 1]]
+        if not len(own):
+            return np.ones(len(others), dtype=bool)
+        here[own] = True
+        numbers, at = gather(flat, bounds, others)
+        shared = sums(here[numbers].astype(np.int64), at)
+        here[own] = False
+        return shared == 0
+
+    return meet
+
+
+def all_within(sets: list[np.ndarray], side: np.ndarray, one_side: bool, meet) -> Iterator[tuple[int, np.ndarray]]:
+    """``q, linked``: all links between points of side 0 and side 1 (or all points, if the window is of one cell), each once, by place in the window.
+
+    A window of two cells one of which is empty has no links: its points meet in their own cell's window.
+    """
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    bounds = ends([len(s) for s in sets])
+    size = np.diff(bounds)
+    here = np.zeros(len(values), dtype=bool)
+    for q in range(len(sets) - 1):
+        later = np.arange(q + 1, len(sets))
+        if not one_side:
+            later = later[side[later] != side[q]]
+        later = later[(100 * size[later] >= PERCENT * size[q]) & (100 * size[q] >= PERCENT * size[later])]
+        later = later[meet(q, later)]
+        if not len(later):
+            continue
+        own = flat[bounds[q] : bounds[q + 1]]
+        here[own] = True
+        numbers, at = gather(flat, bounds, later)
+        common = np.add.reduceat(here[numbers].astype(np.int64), at[:-1])
+        here[own] = False
+        linked = later[may_link(size[later], size[q], common)]
+        if len(linked):
+            yield q, linked
+
+
 #: The columns that name a window.
 WINDOW = ("p", "first_band", "first_block", "second_band", "second_block")
 
@@ -434,6 +488,80 @@ def jaccard_components(docs: DataFrame, *, seed: int = 0) -> DataFrame:
     return out.unionByName(points.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def _all_links(docs: DataFrame, work, schema: str, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """What ``work(ids, copies, q, linked)`` gives for all links, in rows of ``schema``, and the points of :func:`_points`.
+
+    Unlike :func:`jaccard_components` it holds all points of a region against each other, whatever component they are of.
+    """
+    points, sketch = _points(docs, seed)
+    clash = points.where("n_shingles > 0").groupBy("d1").agg(F.min("d2").alias("a"), F.max("d2").alias("b")).where("a <> b")
+    if not clash.isEmpty():  # two sets of one name: hash anew
+        return _all_links(docs, work, schema, seed + 1)
+    prefixes = _prefixes(docs, sketch, seed)
+    shared = prefixes.groupBy("key").agg(F.min("d1").alias("p"), F.max("d1").alias("most")).where("p <> most").select("key", "p")
+    pairs = stored(prefixes.join(shared, "key").where("d1 <> p").select(F.col("d1").alias("x"), "p").distinct(), "pairs")
+    members = pairs.unionByName(pairs.select(F.col("p").alias("x"), "p").distinct())
+    signatures = points.where("n_shingles > 0").groupBy("d1").agg(F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("root"))
+    signatures = stored(signatures.withColumnRenamed("d1", "x").join(members.select("x").distinct(), "x", "left_semi"), "signatures")
+    pivots = stored(pairs.groupBy("x").agg(F.collect_list("p").alias("pivots")), "pivots")
+
+    def dealt(rows: DataFrame, contents: DataFrame, name: str) -> DataFrame:
+        """The windows of ``p, x``, each point with its copies in the place of a root."""
+        at = _windows(rows.join(signatures.select("x", "n", "root"), "x")).join(contents, "x").join(pivots, "x", "left")
+        lesser = F.filter(F.coalesce("pivots", F.array().cast("array<long>")), lambda v: v < F.col("p"))
+        one_cell = (F.col("first_band") == F.col("second_band")) & (F.col("first_block") == F.col("second_block"))
+        return at.withColumn("content", F.struct(F.col(name).alias("own"), lesser.alias("lesser"), one_cell.alias("one_cell")))
+
+    def keep(p, x, n, copies, side, contents):
+        stay = with_partners(n, [np.frombuffer(c["own"], "<u2") for c in contents], x, side, meeting([c["lesser"] for c in contents]))
+        return [(p, i) for i in x[stay]]
+
+    left = stored(_by_window(dealt(members, signatures.select("x", "sig"), "sig"), "content", keep, "p long, x long").distinct(), "left")
+    sets = stored(_sets(docs, points, left.select(F.col("x").alias("d1")).distinct(), seed), "sets")
+
+    def join(p, x, n, copies, side, contents):
+        return work(x, copies, all_within([np.frombuffer(c["own"], np.uint64) for c in contents], side, contents[0]["one_cell"], meeting([c["lesser"] for c in contents])))
+
+    windows = dealt(left, sets.select(F.col("d1").alias("x"), "shingles"), "shingles")
+    return stored(_by_window(windows, "content", join, schema), "all-links"), points
+
+
+def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links ``a, b`` between distinct shingle sets, each once and named by digest, and ``doc_id, d1``: the set of each row that has one.
+
+    Rows of one set are linked with each other too. The links within a group grow with the square of its distinct sets.
+    """
+
+    def pairs(x, copies, found):
+        return [(min(a, b), max(a, b)) for q, linked in found for a, b in zip([int(x[q])] * len(linked), x[linked].tolist(), strict=True)]
+
+    with settings(docs.sparkSession, SET_BATCH):
+        links, points = _all_links(docs, pairs, "a long, b long")
+    return links, points.where("n_shingles > 0").select("doc_id", "d1")
+
+
+def link_counts(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, n_links`` of each row: how many other rows it is linked with, copies included.
+
+    Counts are added up within each window, so no table of pairs is made.
+    """
+
+    def counts(x, copies, found):
+        total = np.zeros(len(x), np.int64)
+        for q, linked in found:
+            total[q] += copies[linked].sum()
+            total[linked] += copies[q]
+        return list(zip(x[total > 0].tolist(), total[total > 0].tolist(), strict=True))
+
+    with settings(docs.sparkSession, SET_BATCH):
+        found, points = _all_links(docs, counts, "x long, linked long")
+    linked = points.where("n_shingles > 0")
+    own = linked.groupBy("d1").agg((F.count("*") - 1).alias("linked"))
+    total = stored(own.unionByName(found.withColumnRenamed("x", "d1")).groupBy("d1").agg(F.sum("linked").alias("n_links")).where("n_links > 0"), "link-counts")
+    out = linked.join(total, "d1", "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return out.unionByName(points.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(0).cast("long").alias("n_links")))
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest doc_id; the same columns.
 

@@ -16,6 +16,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op1_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_counts(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/documents.parquet"
     judged = exact_dedup.dedup_files(spark, path, spark.read.parquet(path).schema)
@@ -65,7 +69,7 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_exact_dedup, op3_url_filter, op4_quality_rules, op5_bpe, op6_token_files, op7_pii, op8_pareto_mix, op9_license_scan, op10_quality_fm)
+    for f in (op1_ngram_jaccard_join, op1_ngram_jaccard_links, op2_exact_dedup, op3_url_filter, op4_quality_rules, op5_bpe, op6_token_files, op7_pii, op8_pareto_mix, op9_license_scan, op10_quality_fm)
 }
 
 SQL: dict[str, str] = {}
@@ -107,6 +111,21 @@ reach(a, b) as (select doc_id, doc_id from sets union select r.a, l.b from reach
 select s.doc_id, len(s.s) as n_shingles, min(r.b) as component_id from sets s join reach r on s.doc_id = r.a group by s.doc_id, s.s
 """
 
+SQL["op1_ngram_jaccard_links"] = r"""
+with words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+sets as (
+  select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                      when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s
+  from words),
+flat as (select doc_id, len(s) as n, unnest(s) as shingle from sets),
+links as (
+  select a.doc_id as a, b.doc_id as b from flat a join flat b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*)))
+select s.doc_id, len(s.s) as n_shingles, count(l.b) as n_links from sets s left join links l on s.doc_id = l.a group by s.doc_id, s.s
+"""
+
 SQL["op8_pareto_mix"] = r"""
 with docs as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, sha256('8:' || coalesce(cast(doc_id as varchar), '')) as h from documents),

@@ -96,6 +96,39 @@ def test_jaccard_odd_rows(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 3, 4, 7, 9, 10}
 
 
+def brute_links(rows):
+    """Numbers of linked rows, by place."""
+    sets = []
+    for _, t in rows:
+        w = words(lower(t))
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    return {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and a and b and 100 * len(a & b) >= 75 * len(a | b)}
+
+
+@pytest.mark.parametrize("block", [1000, 3])
+def test_jaccard_links_within_components(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rows = near_texts() + [(900, near_texts()[0][1]), (901, None), (None, near_texts()[0][1]), (902, ""), (903, "a b"), (904, "A b")]
+    want = brute_links(rows)
+    by_text = collections.Counter(i for i, _ in want)
+    got = ngram_join.link_counts(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert {r["doc_id"]: r["n_links"] for r in got} == {i: by_text[k] for k, (i, _) in enumerate(rows)}
+    links, members = ngram_join.jaccard_links(frame(spark, rows))
+    name = {r["doc_id"]: r["d1"] for r in members.collect()}
+    pairs = [(r["a"], r["b"]) for r in links.collect()]
+    assert len(pairs) == len(set(pairs))
+    ids = [i for i, _ in rows]
+    assert set(pairs) == {(name[ids[i]], name[ids[j]]) for i, j in want if name[ids[i]] < name[ids[j]]}
+    assert ngram_join.link_counts(frame(spark, [])).count() == 0
+
+
+def test_jaccard_links_query_on_whole_table(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    count = collections.Counter(i for i, _ in brute_links(docs))
+    assert {r["doc_id"]: r["n_links"] for r in queries.op1_ngram_jaccard_links(spark, SF).collect()} == {d: count[k] for k, (d, _) in enumerate(docs)}
+
+
 def test_prefix_and_signature_bounds():
     import numpy as np
 
