@@ -3,7 +3,8 @@
 Base kinds (always kept): email, ip (parts at most 255), card (13 to 19 digits, Luhn), phone (9 to 15
 digits after a plus). A match that fails its check is dropped and not tried again at another length.
 
-Added kinds: iban (country letters, check digits, mod-97 equal to 1), ssn (three, two, four digits in
+Added kinds: iban (country letters, check digits, mod-97 equal to 1; of the country's length, or, for a
+country that isn't listed, of the greatest length that ends at a word's end and passes), ssn (three, two, four digits in
 ranges that are issued) and national (a telephone number without plus). Each has a score from its
 check, raised by words that speak for its kind within ``CONTEXT`` characters before it and lowered by
 words that speak against; at ``THRESHOLD`` or more the span is added, unless it overlaps a base span.
@@ -32,6 +33,15 @@ IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: How long each country's IBANs are.
+IBAN_LENGTH = {
+    c: int(n)
+    for n, countries in (x.split(":") for x in (
+        "15:NO 16:BE 18:DK,FI,FO,GL,NL 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,TL "
+        "24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU 31:MT,SC 32:LC"
+    ).split(" "))
+    for c in countries.split(",")
+}
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 NATIONAL = re.compile(r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])")
 
@@ -67,6 +77,19 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def ibans(text: str) -> Iterator[Span]:
+    """A pattern's match runs on into capitals and digits that follow, so it is cut at the ends of its words; the search goes on behind the first word that begins none, or the span."""
+    at = 0
+    while m := IBAN.search(text, at):
+        start, at = m.start(), m.start() + 1
+        for end in (e for e in range(m.end(), start, -1) if text[e - 1] != " " and (e == m.end() or text[e] == " ")):
+            compact = text[start:end].replace(" ", "")
+            if 15 <= len(compact) <= 34 and IBAN_LENGTH.get(compact[:2], len(compact)) == len(compact) and mod97(compact):
+                yield "iban", start, end
+                at = end
+                break
+
+
 def emails(text: str) -> Iterator[Span]:
     """From each @, the local part's run to the left and the domain to the right."""
     done = 0
@@ -103,10 +126,7 @@ def _score(kind: str, text: str, start: int) -> float:
 
 
 def added_spans(text: str, base: list[Span]) -> list[tuple[str, int, int, float]]:
-    proposed: list[Span] = []
-    for m in IBAN.finditer(text):
-        if 15 <= len(compact := m[0].replace(" ", "")) <= 34 and mod97(compact):
-            proposed.append(("iban", m.start(), m.end()))
+    proposed: list[Span] = [*ibans(text)]
     for m in SSN.finditer(text):
         area, group, serial = m[0].split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":

@@ -132,6 +132,15 @@ def test_pii(spark, table):
     assert pii.find_pii(frame(spark, [])).count() == 0
 
 
+def test_iban_before_capitals_and_digits():
+    spans = lambda t: [x[:3] for x in pii.added_spans(t, pii.base_spans(t))]
+    assert spans("GB82 WEST 1234 5698 7654 32 BIC DEUTDEFF") == [("iban", 0, 27)]
+    assert spans("GB82WEST12345698765432 3 May") == [("iban", 0, 22)]
+    assert spans("IBAN GB82 WEST 1234 5698 7654 32 DE89 3704 0044 0532 0130 00 OK") == [("iban", 5, 32), ("iban", 33, 60)]
+    assert spans("AB12 GB82WEST12345698765432") == [("iban", 5, 27)]
+    assert spans("GB82WEST12345698765432X") == [] and spans("NO9386011117947 A") == [("iban", 0, 15)]
+
+
 def brute_counts(text):
     w = re.findall(r"[^ \t-\r]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^ \t-\r]", x)]
