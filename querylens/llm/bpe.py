@@ -48,9 +48,12 @@ OTHERS = re.compile("[^\u0000-\u0377\u0391-\u03a1\u03a3-\u0527\u05d0-\u05ea\u1e0
 class Cutter:
     """From a text to chunks without white space, and from a chunk to its words by the file's pattern.
 
-    Special tokens stay whole. Chunks are a text's, normalised; most texts repeat them.
+    Special tokens stay whole, with SPECIAL before them. Chunks are a text's, normalised; most texts repeat them.
     """
 
+    #: No chunk holds white space, so a normalised chunk of a special token's letters is another string.
+    SPECIAL = " "
+
     def __init__(self, path: str, spec: dict):
         from tokenizers import Regex, Tokenizer, pre_tokenizers
 
@@ -75,7 +78,7 @@ class Cutter:
             return CHUNKS(self.normal(text))
         found: list[str] = []
         for part in self.cut(text):
-            found += [part] if part in self.special else CHUNKS(self.normal(part))
+            found += [self.SPECIAL + part] if part in self.special else CHUNKS(self.normal(part))
         return found
 
     def words(self, chunk: str) -> list[str]:
@@ -190,7 +193,7 @@ class TextEncoder:
         self.cutter, self.encode_chunks, self.remembered = cutter, encode_chunks, remembered
         self.number, self.ids, self.bounds, self.used = Numbers(), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
         for name, i in cutter.special.items():
-            self._learn(np.array([i]), np.array([0, 1])) if self.number[name] >= 0 else None
+            self._learn(np.array([i]), np.array([0, 1])) if self.number[cutter.SPECIAL + name] >= 0 else None
         self.number.new.clear()
 
     def forget(self) -> None:

@@ -62,6 +62,15 @@ def test_every_letter_class_equals_the_librarys(library):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == e.ids, texts[i]
 
 
+def test_special_tokens_in_capitals_equal_the_librarys(library):
+    texts = ["<|ENDOFTEXT|>", "a <|StartOfText|> b", "<|endoftext|> <|ENDOFTEXT|> <|endoftext|>x<|EndOfText|>", "<|STARTOFTEXT|><|startoftext|>"]
+    for encoder in (bpe.load(VOCABULARY)[0], token_store.library_encoder(VOCABULARY)):
+        for _ in range(2):
+            ids, bounds = encoder.encode(texts)
+            assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+            encoder.forget()
+
+
 def check_files(library, texts, got):
     start = 0
     for i, t in texts:
