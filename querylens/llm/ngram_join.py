@@ -18,10 +18,11 @@ digest. Regions form around pivots, which are points themselves:
     differences; by the triangle inequality only points of one size band, or of neighbouring bands, can be
     linked, so each band is replicated to its neighbours'. Bands too large for a task are dealt into blocks,
     and each two blocks meet once. Points whose signatures allow a link to another component stay.
-4.  What stays is joined recursively within its window: a point serves as the next pivot, is held against
+4.  What stays is joined within its window, in one loop: a point serves as the next pivot, is held against
     those of other components that no earlier pivot's window rules out, and leaves.
 
-Every link between two components is found, or a path in its place: the components are exact.
+Every link between two components is found, or a path in its place: the components are exact. All links,
+also those within a component, are what :func:`jaccard_links` and :func:`link_counts` give.
 
 Null and empty texts have no shingles and are linked with nothing. Repeated rows get the same result
 each; a null doc_id is never a component's smallest. Empty tables give empty results; other columns
