@@ -8,10 +8,11 @@ only touch the digests they bring; a stopped stream goes on from its checkpoint.
 A digest that was hit more than once is checked on full bytes: its rows are grouped by the text
 itself, so texts that differ under one digest would form groups of their own.
 
-Null texts count as empty. Of equal texts the row with the largest doc_id stays; of repeated rows
-with that id, the one with the largest locator (without locators, as for frames that aren't read
-from files, all of them are marked kept). Null doc_ids count as smallest. Empty tables give empty
-results; other columns are ignored, or kept by :func:`drop_copies`.
+Null texts count as empty; very long texts are hashed whole, and only those with copies are shuffled.
+Of equal texts the row with the largest doc_id stays; of repeated rows with that id, the one with the
+largest locator. Frames that aren't read from files are written to the shared folder first, so that
+each row has one. Null doc_ids count as smallest. Empty tables give empty results; other columns are
+ignored, or kept by :func:`drop_copies`, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,13 +35,25 @@ STATE_STORE = {
 }
 
 
-def keyed(rows: DataFrame) -> DataFrame:
-    """``doc_id, digest, locator`` of a batch or stream of documents."""
-    digest = F.sha2(text_or_empty(), 256).alias("digest")
+STATE = "digest string, best struct<keep_id:bigint,locator:struct<file:string,row:bigint>>, n bigint"
+
+
+def from_files(docs: DataFrame) -> bool:
+    """Whether rows have a place in a file."""
     try:
-        return rows.select("doc_id", digest, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator"))
-    except AnalysisException:  # not read from files
-        return rows.select("doc_id", digest, F.lit(None).cast("struct<file:string,row:bigint>").alias("locator"))
+        return bool(docs.select("_metadata.row_index").columns)
+    except AnalysisException:
+        return False
+
+
+def located(docs: DataFrame, *columns) -> DataFrame:
+    """These columns of ``docs``, and each row's place in its file as ``locator``."""
+    return docs.select(*columns, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator"))
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """``doc_id, digest, locator`` of a batch or stream of documents read from files."""
+    return located(rows, F.col("doc_id"), F.sha2(text_or_empty(), 256).alias("digest"))
 
 
 def stream_state(keys: DataFrame, checkpoint: str) -> DataFrame:
@@ -58,11 +71,10 @@ def stream_state(keys: DataFrame, checkpoint: str) -> DataFrame:
     with settings(spark, STATE_STORE):
         query = state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
-    schema = "digest string, best struct<keep_id:bigint,locator:struct<file:string,row:bigint>>, n bigint, batch int"
     try:
-        written = spark.read.schema(schema).parquet(f"{checkpoint}-state")
+        written = spark.read.schema(f"{STATE}, batch int").parquet(f"{checkpoint}-state")
     except AnalysisException:  # no input, no batch
-        return spark.createDataFrame([], "digest string, best struct<keep_id:bigint,locator:struct<file:string,row:bigint>>, n bigint")
+        return spark.createDataFrame([], STATE)
     if written.select(F.max("batch") - F.min("batch")).first()[0]:
         written = written.groupBy("digest").agg(F.max_by(F.struct("best", "n"), "batch").alias("s")).select("digest", "s.best", "s.n")
     return written.select("digest", "best", "n")
@@ -71,26 +83,28 @@ def stream_state(keys: DataFrame, checkpoint: str) -> DataFrame:
 def _judged(docs: DataFrame, keys: DataFrame, state: DataFrame) -> DataFrame:
     """A row for each row of ``docs``, whose digests went through the stream: its group and whether it stays."""
     # Full bytes: rows of digests with hits, grouped by the text itself. Two contents of one digest are a clash.
-    texts = docs.select(text_or_empty().alias("content")).withColumn("digest", F.sha2("content", 256))
+    texts = located(docs, F.col("doc_id"), text_or_empty().alias("content")).withColumn("digest", F.sha2("content", 256))
     hit = state.where("n > 1")
     total = state.agg(F.sum("n")).first()[0] or 0
     # At most 1,000 digests can each hold more than a thousandth of all rows: those are broadcast, and their copies
     # collapse within each task before they are shuffled. The groups of the others are small.
+    often, seldom = state.where(F.col("n") > total / 1000), state.where(F.col("n") <= total / 1000)
     hot = F.broadcast(hit.where(F.col("n") > total / 1000).select("digest"))
     cool = hit.where(F.col("n") <= total / 1000).select("digest")
-    met = texts.join(hot, "digest", "left_semi").unionByName(texts.join(hot, "digest", "left_anti").join(cool.hint("shuffle_hash"), "digest", "left_semi"))
+    contents = texts.select("digest", "content")
+    met = contents.join(hot, "digest", "left_semi").unionByName(contents.join(hot, "digest", "left_anti").join(cool.hint("shuffle_hash"), "digest", "left_semi"))
     differ = met.groupBy("digest", "content").agg(F.count("*").alias("n"))
-    clash = stored(differ.groupBy("digest").agg(F.count("*").alias("contents"), F.first("content").alias("c")).where("contents > 1").select("digest"), "dedup-clash")
-    plain = keys.join(state, "digest")
+    clash = stored(differ.groupBy("digest").agg(F.count("*").alias("contents")).where("contents > 1").select("digest"), "dedup-clash")
+    # No key of the shuffled join holds more than a thousandth of the rows.
+    of_state = keys.join(F.broadcast(often), "digest").unionByName(keys.join(F.broadcast(often.select("digest")), "digest", "left_anti").join(seldom, "digest"))
     key = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("keep_id"), "locator")
-    plain = plain.select("doc_id", F.col("best.keep_id").alias("keep_id"), F.col("n").alias("group_size"), (key == F.col("best")).alias("kept"), F.col("digest").alias("text_sha256"), "locator")
+    out = (F.col("doc_id"), F.col("best.keep_id").alias("keep_id"), F.col("n").alias("group_size"), (key == F.col("best")).alias("kept"), F.col("digest").alias("text_sha256"), F.col("locator"))
     if clash.isEmpty():
-        return plain
-    apart = keys.join(docs.select(F.col("doc_id").alias("d_id"), text_or_empty().alias("content")).withColumn("d_digest", F.sha2("content", 256)).join(clash.withColumnRenamed("digest", "d_digest"), "d_digest", "left_semi"), (F.col("digest") == F.col("d_digest")) & F.col("doc_id").eqNullSafe(F.col("d_id")))
+        return of_state.select(*out)
+    # Digests that stand for several texts: their rows are judged by the texts themselves.
+    apart = texts.join(clash, "digest", "left_semi")
     groups = apart.groupBy("digest", "content").agg(F.max(key).alias("best"), F.count("*").alias("n"))
-    apart = apart.join(groups, ["digest", "content"])
-    apart = apart.select("doc_id", F.col("best.keep_id").alias("keep_id"), F.col("n").alias("group_size"), (key == F.col("best")).alias("kept"), F.col("digest").alias("text_sha256"), "locator")
-    return plain.join(clash.withColumnRenamed("digest", "text_sha256"), "text_sha256", "left_anti").unionByName(apart)
+    return of_state.join(clash, "digest", "left_anti").select(*out).unionByName(apart.join(groups, ["digest", "content"]).select(*out))
 
 
 def dedup_files(spark: SparkSession, path: str, schema, checkpoint: str | None = None) -> DataFrame:
@@ -107,21 +121,18 @@ def dedup_files(spark: SparkSession, path: str, schema, checkpoint: str | None =
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The same for any frame: its digests, not its texts, are written for the stream to read."""
-    keys = stored(keyed(docs), "dedup-keys")
-    path = work_path(docs.sparkSession, "dedup")
-    stream = docs.sparkSession.readStream.schema(keys.schema).parquet(keys.inputFiles()[0].rsplit("/", 1)[0]) if keys.inputFiles() else None
-    state = stream_state(stream, path) if stream is not None else docs.sparkSession.createDataFrame([], "digest string, best struct<keep_id:bigint,locator:struct<file:string,row:bigint>>, n bigint")
+    docs = docs if from_files(docs) else stored(docs.select("doc_id", "text"), "dedup-docs")
+    spark, keys = docs.sparkSession, stored(keyed(docs), "dedup-keys")
+    files = keys.inputFiles()
+    if files:
+        state = stream_state(spark.readStream.schema(keys.schema).parquet(files[0].rsplit("/", 1)[0]), work_path(spark, "dedup"))
+    else:
+        state = spark.createDataFrame([], STATE)
     return _judged(docs, keys, state)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that :func:`dedup` drops, with the same columns."""
-    judged = dedup(docs)
-    gone = judged.where("not kept").select(F.col("doc_id").alias("g_id"), F.col("text_sha256").alias("g_digest"), F.col("locator").alias("g_locator")).distinct()
-    here = docs.withColumn("g_text", F.sha2(text_or_empty(), 256))
-    try:
-        here = here.withColumn("g_at", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
-    except AnalysisException:
-        here = here.withColumn("g_at", F.lit(None).cast("struct<file:string,row:bigint>"))
-    met = here.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("g_text") == F.col("g_digest")) & F.col("g_at").eqNullSafe(F.col("g_locator")), "left_anti")
-    return met.select(*docs.columns)
+    """``docs`` without the rows that :func:`dedup` drops, with the same columns, whatever their names."""
+    docs = docs if from_files(docs) else stored(docs, "dedup-docs")
+    gone = dedup(docs).where("not kept").select("locator")
+    return located(docs, F.struct(*docs.columns).alias("row")).join(gone, "locator", "left_anti").select("row.*")
