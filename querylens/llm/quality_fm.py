@@ -8,7 +8,9 @@ for each factor, so scoring is linear in the number of features.
 
 Labels, lang, source and doc_id are never features. Fitted on a bounded sample of labelled rows
 outside the held-out fold. Null texts count as empty and are scored by their structure; without
-labelled rows each score is 0.5. Repeated rows get the same score; empty tables give empty results.
+labelled rows each score is 0.5. Very long texts are scored whole. Repeated rows get the same score;
+empty tables give empty results; other columns are ignored, or kept by :func:`with_score`, which
+refuses a name for the score that a column of the table has.
 """
 
 from __future__ import annotations
@@ -145,7 +147,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS) -> Facto
 
 
 def with_score(docs: DataFrame, model: FactorisationMachine, name: str = "score") -> DataFrame:
-    """``docs`` with the model's score, 0 to 1."""
+    """``docs`` with the model's score, 0 to 1; ValueError if a column has that name."""
+    if name.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"the table has a column {name}")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
 
     @F.pandas_udf("double")

@@ -5,9 +5,10 @@ weighing the root of its share. It is fitted on a bounded
 sample of labelled quality rows and calibrated (Platt) on the sample's third fold; the calibrated
 probability is held against a fixed threshold.
 
-Null texts count as empty: all counts 0, ``base_failed`` true, ``kept`` false. Without labelled rows
-every text has probability 0.5 and passes the model. Repeated rows get the same result each; empty
-tables give empty results; other columns are ignored.
+Null texts count as empty: all counts 0, ``base_failed`` true, ``kept`` false. Very long texts are
+measured whole, in numpy arrays of a few times their size. Without labelled rows every text has
+probability 0.5 and passes the model. Repeated rows get the same result each; empty tables give empty
+results; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ SYMBOLS = byte_table(b"#*$%&|<>")
 MIN_WORDS = 50
 THRESHOLD = 0.3
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
 BITS = 18
 CHARS = 3
 
@@ -163,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS) -> Ngram
 
 
 def judge(docs: DataFrame, model: NgramModel, *, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id``, the base counts, ``base_failed``, ``probability`` and ``kept`` of each row."""
+    """``doc_id``, the base counts, ``base_failed``, ``kept`` and ``probability`` of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two tables of 2 ** BITS floats
 
     @F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, probability double")
@@ -177,5 +180,5 @@ def judge(docs: DataFrame, model: NgramModel, *, threshold: float = THRESHOLD) -
             yield pd.concat(parts, ignore_index=True)
 
     failed = (F.col("r.n_words") < MIN_WORDS) | (100 * F.col("r.n_repeat_words") > 50 * F.col("r.n_words"))
-    got = docs.select("doc_id", measure(text_or_empty().cast("binary")).alias("r")).select("doc_id", "r.*", failed.alias("base_failed"))
-    return got.withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= threshold))
+    got = docs.select("doc_id", measure(text_or_empty().cast("binary")).alias("r"))
+    return got.select("doc_id", *(f"r.{c}" for c in COUNTS), failed.alias("base_failed"), (~failed & (F.col("r.probability") >= threshold)).alias("kept"), "r.probability")
