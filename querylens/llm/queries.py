@@ -53,7 +53,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = mixing.with_copies(docs.select("doc_id", "source", "text"), mixing.mix_plan(docs))
-    return rows.select("doc_id", F.col("m_size").alias("size"), F.col("p_source_size").alias("source_size"), F.col("p_target").alias("target"), (F.col("m_size") * F.col("copies")).alias("taken"))
+    return rows.select("row.doc_id", "size", "p.source_size", "p.target", (F.col("size") * F.col("copies")).alias("taken"), "chance")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_fm.fit(docs, table(spark, sf_dir, "labels"))
     scored = quality_fm.with_score(docs.select("doc_id", "text", "n_chars"), model)
-    return scored.select("doc_id", (fold() == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -139,10 +139,56 @@ level as (select due, weights from ordered where due * weight <= cap * weights o
 targets as (
   select o.source, o.source_size, case when o.due * o.weight <= o.cap * o.weights then (o.weight * l.due)::double / l.weights::double else o.cap::double end as target from ordered o, level l),
 plan as (
-  select *, least(floor(case when source_size > 0 then target / source_size else 0 end + 1e-12), 3)::bigint as certain from targets),
+  select *, greatest(target - certain * source_size, 0) as due
+  from (select *, least(floor(case when source_size > 0 then target / source_size else 0 end + 1e-12), 3)::bigint as certain from targets)),
+-- Down the sizes, all above the first that the factor of the rest leaves below 1 are certain.
+sizes as (select source, size, count(*) * size as words, (count(*) * size * size)::double as weighted from docs where size > 0 group by source, size),
+levels as (
+  select s.source, s.size, coalesce(sum(words) over (down rows between unbounded preceding and 1 preceding), 0) as sure,
+         (p.due - coalesce(sum(words) over (down rows between unbounded preceding and 1 preceding), 0)) / sum(weighted) over (partition by s.source order by s.size) as c
+  from sizes s join plan p on s.source is not distinct from p.source where p.due > 0 window down as (partition by s.source order by s.size desc)),
+factor as (select source, max_by(c, size) as c, max_by(sure, size) as sure from levels where c * size < 1 group by source),
+chances as (
+  select d.*, p.source_size, p.target, p.certain, p.due, coalesce(f.sure, 0) as sure, least(coalesce(f.c, 1.0::double) * d.size::double, 1.0::double) as chance,
+         (('0x' || substr(h, 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double as u
+  from docs d join plan p on d.source is not distinct from p.source left join factor f on d.source is not distinct from f.source),
+odds as (select *, case when chance < 1 and size > 0 then (u * (1 - greatest(chance, 1e-12::double))) / ((1 - u) * greatest(chance, 1e-12::double)) end as odds from chances),
 ranked as (
-  select d.*, p.source_size, p.target, p.certain, greatest(p.target - p.certain * p.source_size, 0) as due,
-         sum(size) over (partition by d.source order by substr(h, 1, 13), doc_id rows unbounded preceding) as so_far
-  from docs d join plan p on d.source is not distinct from p.source)
-select doc_id, size, source_size, target, (size * least(certain + case when due > 0 and so_far - size / 2 <= due then 1 else 0 end, 3))::bigint as taken from ranked
+  select *, sure + sum(case when odds is null then 0 else size end) over (partition by source order by odds / (1 + odds) nulls first, doc_id rows unbounded preceding) as so_far from odds)
+select doc_id, size, source_size, target, chance,
+       (size * least(certain + case when due > 0 and (chance >= 1 or so_far - size / 2 <= due) then 1 else 0 end, 3))::bigint as taken
+from ranked
 """
+
+
+def _license_sql() -> str:
+    grams = [(q, i, label, len(w) - license_scan.K + 1, w[q : q + license_scan.K]) for i, (label, w) in enumerate(license_scan.template_words()) for q in range(len(w) - license_scan.K + 1)]
+    rows = ", ".join(f"({q}, {i}, '{label}', {n}, {w})" for q, i, label, n, w in grams)
+    phrases = ", ".join(f"({p.split(' ')}, '{label}')" for p, label in license_scan.PHRASES)
+    return rf"""
+with words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+stands as (select doc_id, pos - 1 as pos, w[pos:pos + {license_scan.K - 1}] as gram from (select doc_id, w, unnest(range(1, len(w) + 1)) as pos from words)),
+grams(t_pos, template, label, t_grams, t_words) as (values {rows}),
+phrases(p_words, label) as (values {phrases}),
+places as (select doc_id, pos, label from stands join phrases on gram[1:len(p_words)] = p_words),
+votes as (select doc_id, template, label, t_grams, pos - t_pos as diagonal, pos, t_pos from stands join grams on gram = t_words),
+diagonals as (select doc_id, template, label, t_grams, diagonal, list(distinct t_pos) as found, min(pos) as first, max(pos) as last from votes group by all),
+cut as (
+  select *, case when lag(diagonal) over w is null or diagonal - lag(diagonal) over w > {license_scan.SHIFT} or first - lag(last) over w > {license_scan.GAP} then 1 else 0 end as new
+  from diagonals window w as (partition by doc_id, template order by diagonal, first)),
+numbered as (select *, sum(new) over (partition by doc_id, template order by diagonal, first rows unbounded preceding) as span from cut),
+spans as (select doc_id, label, len(list_distinct(flatten(list(found)))) / t_grams as score from numbered group by doc_id, template, label, t_grams, span),
+best as (select doc_id, label, max(score) as score from spans group by all),
+base as (select doc_id, count(*) as n_base, min(pos) as first_word, max(pos) as last_word, array_to_string(list_sort(list(distinct label)), ',') as base_labels from places group by all),
+labels_of as (
+  select doc_id, array_to_string(list_sort(list(distinct label)), ',') as labels
+  from (select doc_id, label from places union all select doc_id, label from best where score >= {license_scan.MIN_SCORE}) group by all),
+scores as (select doc_id, max(score) as score from best group by all)
+select doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+       greatest(coalesce(score, 0), case when n_base > 0 then {license_scan.PHRASE_SCORE} else 0 end)::double as score
+from words left join base using (doc_id) left join labels_of using (doc_id) left join scores using (doc_id)
+"""
+
+
+SQL["op9_license_scan"] = _license_sql()

@@ -164,13 +164,35 @@ def test_exact_dedup(spark, tmp_path):
     got = exact_dedup.dedup(docs).collect()
     check_dedup(rows, got)
     # Of the repeated row 6 one row stays.
-    assert sorted(r["doc_id"] for r in got if r["kept"]) == [3, 2, 6, 7, 8, 9, 10, 5].__class__(sorted([2, 3, 5, 6, 7, 8, 9, 10]))
+    assert sorted(r["doc_id"] for r in got if r["kept"]) == [2, 3, 5, 6, 7, 8, 9, 10]
     kept = exact_dedup.drop_copies(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 5, 6, 7, 8, 9, 10]
-    check_dedup(rows, exact_dedup.dedup(frame(spark, rows)).collect())
+    other = exact_dedup.dedup(frame(spark, rows)).collect()  # not read from files
+    check_dedup(rows, other)
+    assert sorted(r["doc_id"] for r in other if r["kept"]) == [2, 3, 5, 6, 7, 8, 9, 10]
     assert exact_dedup.dedup(stored(frame(spark, rows[:0]), "docs")).count() == 0
 
 
+CLASHES = ("g_text", "g_at", "digest", "locator", "content", "row", "m_hash", "m_size", "p_due", "p", "name", "size", "rank", "copies", "fm_score", "d1", "root", "source_size", "template")
+
+
+def clashing(spark, rows):
+    """Documents of id, text and source with columns of the names in CLASHES."""
+    docs = spark.createDataFrame([(*r, "s")[:3] for r in rows], "doc_id long, text string, source string")
+    return docs.select("*", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHES))
+
+
+def test_clashing_columns_come_back_as_they_were(spark):
+    rows = [(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, "q", "x"), (4, None, "x"), (5, "a b c d e f g h i j k l m n o p q r s t u v w x y z", "x")]
+    for docs in (clashing(spark, rows), stored(clashing(spark, rows), "docs")):
+        for got, ids in ((exact_dedup.drop_copies(docs), {2, 3, 4, 5}), (ngram_join.drop_near_copies(docs), {1, 3, 4, 5}), (mixing.mix(docs), None)):
+            assert got.columns == docs.columns
+            found = got.collect()
+            assert found and (ids is None or {r["doc_id"] for r in found} == ids)
+            assert all(r[c] == f"{c}{r['doc_id']}" for r in found for c in CLASHES)
+        assert license_scan.license_labels(docs).count() == len(rows)
+
+
 def test_dedup_goes_on_from_its_state(spark, tmp_path):
     path, checkpoint = str(tmp_path / "docs"), str(tmp_path / "state")
     frame(spark, [(1, "a"), (2, "b")]).coalesce(1).write.parquet(path)
@@ -185,6 +207,9 @@ def test_clashing_digests_are_told_apart_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.lit("same"))
     got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.dedup(frame(spark, [(1, "a"), (2, "b"), (3, "a")])).collect()}
     assert got == {1: (3, 2), 3: (3, 2), 2: (2, 1)}
+    # Repeated ids keep a row each; of the repeated row one stays.
+    got = [(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup(frame(spark, [(1, "a"), (1, "b"), (3, "a"), (3, "a"), (None, "b")])).collect()]
+    assert sorted(got, key=str) == sorted([(1, 3, 3, False), (1, 1, 2, True), (3, 3, 3, True), (3, 3, 3, False), (None, 1, 2, False)], key=str)
 
 
 URLS = [None, "", "no scheme", "http://NET", "http://net/", "http://a.Net/x?y", "https://www.example.net/en/1", "https://example.com/de/", "http://x.example.com/dextra", "http://org/fr/a#b", "http://notnet/", "http://example.net/EN/", "http://a://b.net/c", "x://a.net?/q"]
@@ -230,17 +255,18 @@ def brute_targets(size):
 def test_mixing(spark):
     rows = [(i, " ".join(["w"] * (1 + i * 7 % 40)), ["b", "a", "c", "d", None][i * i % 5]) for i in range(400)] + [(900, None, "z"), (901, "", None), (5, "w w", "b"), (5, "w w", "b")]
     docs = frame(spark, rows)
-    got = mixing.with_copies(docs, mixing.mix_plan(docs)).select("source", "m_size", "p_source_size", "p_target", "copies", "doc_id").collect()
+    columns = (F.col("row.source"), F.col("size"), F.col("p.source_size"), F.col("p.target"), F.col("copies"), F.col("row.doc_id"))
+    got = mixing.with_copies(docs, mixing.mix_plan(docs)).select(*columns).collect()
     assert len(got) == len(rows)
     size = collections.Counter()
     for _, t, s in rows:
         size[s] += len(words(t))
     want, taken = brute_targets(size), collections.Counter()
     for r in got:
-        assert r["p_source_size"] == size[r["source"]] and abs(r["p_target"] - want[r["source"]]) < 1e-6 and 0 <= r["copies"] <= 3
-        taken[r["source"]] += r["copies"] * r["m_size"]
+        assert r["source_size"] == size[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6 and 0 <= r["copies"] <= 3
+        taken[r["source"]] += r["copies"] * r["size"]
     assert all(abs(taken[s] - want[s]) <= 40 for s in size)
-    again = mixing.with_copies(docs.repartition(7), mixing.mix_plan(docs.repartition(3))).select("source", "m_size", "p_source_size", "p_target", "copies", "doc_id").collect()
+    again = mixing.with_copies(docs.repartition(7), mixing.mix_plan(docs.repartition(3))).select(*columns).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, again))
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in got)
@@ -250,13 +276,43 @@ def test_mixing(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
 
 
+def test_mixing_includes_as_often_as_stated(spark):
+    """Over many seeds documents are drawn as often as their unequal probabilities say, and words come near the target."""
+    rows = [(i, " ".join(["w"] * (2 + i * i % 61)), "ab"[i % 3 == 0]) for i in range(600)]
+    docs = stored(frame(spark, rows), "docs")
+    taken, chance, seeds = collections.Counter(), {}, 5
+    for seed in range(seeds):
+        for r in mixing.with_copies(docs, mixing.mix_plan(docs, seed=seed), seed=seed).select("row.doc_id", "chance", "copies", "p.certain", "p.due").collect():
+            if r["due"] > 0:
+                taken[r["doc_id"]] += r["copies"] - r["certain"]
+                chance[r["doc_id"]] = r["chance"]
+    assert len(set(chance.values())) > 10
+    assert all(taken[i] == seeds for i, p in chance.items() if p >= 1)
+    open_ = {i: p for i, p in chance.items() if p < 1}
+    for low, high in ((0, 0.25), (0.25, 0.5), (0.5, 0.75), (0.75, 1)):
+        some = [i for i, p in open_.items() if low <= p < high]
+        assert len(some) < 20 or abs(sum(taken[i] for i in some) / seeds / len(some) - sum(open_[i] for i in some) / len(some)) < 0.08
+
+
+def test_mixing_without_ids(spark):
+    """A third of all rows without an id, most of them the same text: still near the target, and the same in a second run."""
+    rows = [(None, "one two three", "a")] * 300 + [(i, "w " * (1 + i % 9), "ab"[i % 2]) for i in range(600)]
+    docs = stored(frame(spark, rows).repartition(3), "docs")
+    got = [sorted(map(repr, mixing.mix(docs).select("doc_id", "text", "source").collect())) for _ in range(2)]
+    plan = {r["source"]: r["target"] for r in mixing.mix_plan(docs).collect()}
+    words_taken = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        words_taken[r["source"]] += len(words(r["text"]))
+    assert got[0] == got[1] and all(abs(words_taken[s] - t) <= 9 for s, t in plan.items())
+
+
 def brute_license(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
     places = [(i, label) for phrase, label in license_scan.PHRASES for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
     return len(w), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None), ",".join(sorted({x for _, x in places}))
 
 
-def test_license_scan(spark):
+def test_license_scan(spark, monkeypatch):
     mit = license_scan.TEMPLATES[1][1]
     changed = mit.replace("free of charge", "entirely free of any charge")
     rows = [*ODD, (20, "Released under the MIT License.\nMIT license"), (21, "x " * 50 + changed.title() + " y" * 30), (22, "Licensed under CC BY-NC 4.0."), (23, "general public; license MITlicense"), (24, "permission is hereby granted to nobody"), (25, "Apache License general public license"), (26, "MİT license É-ß")]
@@ -268,10 +324,18 @@ def test_license_scan(spark):
         assert set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
     labels = {r["doc_id"]: (r["labels"], r["score"]) for r in got}
     assert labels[21][0] == "mit" and labels[21][1] >= 0.6 and labels[22] == ("cc-by-nc", 1.0) and labels[24][0] == "" and labels[23][0] == "gpl" and labels[25][0] == "apache,gpl"
-    _, spans = license_scan.scan(frame(spark, rows))
-    span = spans.where("doc_id = 21 and label = 'mit'").orderBy(F.desc("score")).first()
+    found = license_scan.spans(license_scan.hits(frame(spark, rows)))
+    span = found.where("doc_id = 21 and label = 'mit'").orderBy(F.desc("score")).first()
     assert (span["first_word"], span["last_word"]) == (50, 50 + len(changed.split()) - 1)
     assert license_scan.license_labels(frame(spark, [])).count() == 0
+    # Whole license texts and short names as a table of templates, broadcast or not, give the same.
+    mine = [("long", " ".join(f"term{i} clause{i % 7}" for i in range(400))), ("short", "unlicense v1"), *license_scan.TEMPLATES]
+    docs = frame(spark, [(1, mine[0][1]), (2, "the Unlicense v1."), (3, " ".join(mine[0][1].split()[:300])), (None, "x"), (None, "x")])
+    results = []
+    for limit in (100_000, 10):
+        monkeypatch.setattr(license_scan, "BROADCAST_GRAMS", limit)
+        results.append(sorted((r["doc_id"] or 0, r["labels"], r["score"]) for r in license_scan.license_labels(docs, templates=mine).collect()))
+    assert results[0] == results[1] and [r[1] for r in results[0]] == ["", "", "long", "short", ""]
 
 
 def test_license_query_on_whole_table(spark):
