@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import copy
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tokens import raw_reason, statements, tokens
+from .tokens import kind_of, running, statements
 
 CONSTRAINTS = ("PRIMARY", "FOREIGN", "UNIQUE", "KEY", "INDEX", "CONSTRAINT", "CHECK", "FULLTEXT", "SPATIAL", "LIKE", "PERIOD")
 
@@ -19,18 +21,19 @@ def plain_name(tok):
 
 
 def inline_columns(t: DataFrame) -> DataFrame:
-    """``doc_id, table_key, column_key, nullable`` of the tables that texts create, from their tokens; a table without a column list has none."""
-    t = t.where((F.col("first") == "CREATE") & (F.col("depth") == 1) & (F.col("block") == 1))
+    """``sid, table_key, column_key, nullable`` of the tables that statement shapes create, from their words; a table without a column list has none."""
+    t = t.where((F.col("first") == "CREATE") & (F.col("depth") == 1) & (F.col("block") == 1) & ~F.col("is_raw"))
     of_table = F.coalesce((F.col("second") == "TABLE") | ((F.col("third") == "TABLE") & F.col("second").isin("TEMPORARY", "TEMP")), F.lit(False))
-    t = t.where(of_table & ~F.coalesce(F.col("opener.head").isin("SELECT"), F.lit(False)))
-    at = Window.partitionBy("doc_id", "piece").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumn("item", F.sum(((F.col("kind") == "sign") & F.col("tok").isin(",", "(")).cast("int")).over(at))
-    items = t.where("not (kind = 'sign' and tok in (',', '('))").groupBy("doc_id", "piece", "item").agg(
+    t = t.where(of_table & ~F.coalesce(F.col("opener.query"), F.lit(False)))
+    at = Window.partitionBy("sid").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = t.withColumn("item", F.sum(F.col("tok").isin(",", "(").cast("int")).over(at))
+    items = t.where("tok not in (',', '(')").groupBy("sid", "item").agg(
         F.first(F.col("opener.prev")).alias("table"), F.min_by("tok", "pos").alias("name"), F.min_by("up", "pos").alias("head"),
-        F.max(((F.col("up") == "NOT") & (F.col("after")[0] == "NULL")) | ((F.col("up") == "PRIMARY") & (F.col("after")[0] == "KEY"))).alias("required"),
+        F.max(((F.col("up") == "NOT") & (F.get("after", F.lit(0)) == "NULL")) | ((F.col("up") == "PRIMARY") & (F.get("after", F.lit(0)) == "KEY"))).alias("required"),
     )
     rows = items.where(~F.col("head").isin(*CONSTRAINTS, ")"))
-    return rows.select("doc_id", F.lower(plain_name(F.col("table"))).alias("table_key"), F.lower(plain_name(F.col("name"))).alias("column_key"), (~F.coalesce("required", F.lit(False))).alias("nullable"))
+    table = F.element_at(F.regexp_extract_all("table", F.lit(r'"(?:[^"]|"")*"|`(?:[^`]|``)*`|\[[^\]]*\]|[^.]+'), F.lit(0)), -1)
+    return rows.select("sid", F.lower(plain_name(table)).alias("table_key"), F.lower(plain_name(F.col("name"))).alias("column_key"), (~F.coalesce("required", F.lit(False))).alias("nullable"))
 
 
 #: A row for each thing in a project's catalog, and for each note taken on the way.
@@ -47,12 +50,12 @@ def ddl_events(docs: DataFrame) -> DataFrame:
 
     ``docs`` has, besides what frames of SQL text have, ``project_id`` and ``file_ord``.
     """
-    t = tokens(docs)
-    tok = F.struct("pos", "tok", "up", "kind", "depth")
-    by = t.groupBy("doc_id", "piece").agg(F.first("first").alias("head"), F.when(F.first("first").isin(*DDL), F.array_sort(F.collect_list(tok))).alias("toks"))
-    s = statements(docs).where("status = 'ok'").join(by, ["doc_id", "piece"], "left")
-    reason = F.when(F.col("is_raw"), F.concat(F.lit("raw:"), raw_reason(F.col("sql"))))
-    events = s.select("doc_id", "stmt", F.col("start_line").cast("int").alias("line"), reason.alias("reason"), "head", F.when(~F.col("is_raw"), F.col("toks")).alias("toks"))
+    s = statements(docs).where("status = 'ok'")
+    tok = F.transform("sig", lambda i: F.element_at(F.col("toks"), i))
+    depth = running(F.transform(tok, lambda x: F.when(x == "(", 1).when(x == ")", -1).otherwise(0)))
+    cut = F.transform(F.arrays_zip(tok.alias("tok"), depth.alias("depth")), lambda x: F.struct(x["tok"].alias("tok"), F.when(kind_of(x["tok"], F.col("dialect")).isin("word"), F.upper(x["tok"])).otherwise(x["tok"]).alias("up"), kind_of(x["tok"], F.col("dialect")).alias("kind"), (x["depth"] + F.when(x["tok"] == "(", 1).otherwise(0)).alias("depth")))
+    reason = F.when(F.col("is_raw"), F.concat(F.lit("raw:"), "raw_reason"))
+    events = s.select("doc_id", "stmt", F.col("start_line").cast("int").alias("line"), reason.alias("reason"), "head", F.when(~F.col("is_raw") & F.col("head").isin(*DDL), cut).alias("toks"))
     return events.join(docs.select("doc_id", "project_id", "file_ord"), "doc_id")
 
 
@@ -61,8 +64,8 @@ def _unquoted(tok: str) -> str:
 
 
 def _named(toks: list, at: int) -> tuple[list[str], int]:
-    """The parts of the dotted name at this place, and the place after it."""
-    parts = [_unquoted(toks[at]["tok"])] if at < len(toks) else []
+    """The parts of the dotted name at this place, and the place after it; LookupError if there is none."""
+    parts = [_unquoted(toks[at]["tok"])]
     at += 1
     while at + 1 < len(toks) and toks[at]["tok"] == ".":
         parts.append(_unquoted(toks[at + 1]["tok"]))
@@ -89,6 +92,17 @@ def _index_of(toks: list, *words: str) -> int:
     return -1
 
 
+class Event(NamedTuple):
+    """A statement of a project's DDL."""
+
+    file_ord: int
+    stmt: int
+    line: int
+    reason: str | None
+    head: str | None
+    toks: list | None
+
+
 class _Fold:
     """One project's catalog while its statements are replayed in order."""
 
@@ -104,7 +118,14 @@ class _Fold:
         """One part belongs to the current database, the last two of several say where."""
         return (parts[-2].lower() if len(parts) > 1 else self.current, parts[-1].lower() if parts else "")
 
-    def run(self, event) -> None:
+    def run(self, event: Event) -> None:
+        """Replay a statement; one that is cut short or malformed leaves the catalog as it is, and a note."""
+        try:
+            self._run(event)
+        except (LookupError, StopIteration, ValueError):
+            self.note("malformed", " ".join(t["up"] for t in (event.toks or [])[:2]), event)
+
+    def _run(self, event: Event) -> None:
         if event.reason:
             return self.note("skipped", event.reason, event)
         toks = list(event.toks) if event.toks is not None else []
@@ -208,7 +229,7 @@ class _Fold:
         return name
 
     def create_index(self, toks, ups, at, if_not_exists, event) -> None:
-        on = ups.index("ON") if "ON" in ups else -1
+        on = ups.index("ON")
         parts, open_ = _named(toks, on + 1)
         table = self.tables.get(self.key(parts))
         if table is None:
@@ -230,9 +251,10 @@ class _Fold:
     def alter_table(self, toks, at, if_exists, event) -> None:
         parts, at = _named(toks, at)
         key, rename = self.key(parts), None
-        table = self.tables.get(key)
-        if table is None:
+        if key not in self.tables:
             return None if if_exists else self.note("missing_table", ".".join(parts), event)
+        # Changed as a whole or, where a part is malformed, not at all.
+        table = copy.deepcopy(self.tables[key])
         ops, start = [], at
         for i in range(at, len(toks) + 1):
             if i == len(toks) or (toks[i]["tok"] == "," and toks[i]["depth"] == 0):
@@ -245,6 +267,8 @@ class _Fold:
             rest = op[skip + guard :]
             if ups[0] == "RENAME" and ups[1] in ("TO", "AS"):
                 rename = self.key(_named(op, 2)[0]), _named(op, 2)[0][-1]
+            elif ups[0] in ("ADD", "DROP", "MODIFY", "CHANGE", "RENAME") and not rest and ups[1] not in ("PRIMARY", "INDEX", "KEY"):
+                raise LookupError("nothing named")
             elif ups[0] == "RENAME" and rest and "TO" in ups:
                 old, new = _unquoted(rest[0]["tok"]), _unquoted(op[ups.index("TO") + 1]["tok"])
                 if old.lower() in table["columns"]:
@@ -268,7 +292,9 @@ class _Fold:
                 self.note("skipped", f"ALTER TABLE {ups[0]}", event)
         if rename:
             (new_key, name) = rename
-            self.tables[new_key] = self.tables.pop(key) | {"name": name}
+            self.tables.pop(key)
+            key, table = new_key, table | {"name": name}
+        self.tables[key] = table
         return None
 
     def drop_part(self, table, op, ups, rest) -> None:
@@ -309,17 +335,32 @@ def build_catalog(docs: DataFrame) -> DataFrame:
     """Replay the DDL of each project in order of file and statement: a row for each entry, as in ``ENTRIES``.
 
     The replay is a fold: what a statement does depends on those before it (renames, LIKE, the current
-    database), so a project's DDL is one group. Other statements come along without their tokens.
+    database). Projects are dealt to tasks and their statements stream through in order, in Arrow batches:
+    of a project no more is held than its catalog. Only DDL brings its tokens along.
     """
     names = [c.strip().split(" ")[0].strip("`") for c in ENTRIES.split(", ")]
-
-    def replay(key: tuple, events: pd.DataFrame) -> pd.DataFrame:
-        fold = _Fold()
-        for event in events.sort_values(["file_ord", "stmt"]).itertuples():
-            fold.run(event)
-        return pd.DataFrame([dict.fromkeys(names) | {"project_id": key[0]} | r for r in fold.rows()], columns=names, dtype=object)
-
-    return ddl_events(docs).groupBy("project_id").applyInPandas(replay, ENTRIES)
+    empty = docs.sparkSession.createDataFrame([], ENTRIES).toArrow().schema
+    order = ("project_id", "file_ord", "stmt")
+
+    def rows(project: str | None, fold: _Fold) -> list[dict]:
+        return [dict.fromkeys(names) | {"project_id": project} | r for r in fold.rows()]
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        project, fold = None, None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if fold is None or r["project_id"] != project:
+                    if fold is not None:
+                        out += rows(project, fold)
+                    project, fold = r["project_id"], _Fold()
+                fold.run(Event(*(r[c] for c in Event._fields)))
+            yield pa.RecordBatch.from_pylist(out, schema=empty)
+        if fold is not None:
+            yield pa.RecordBatch.from_pylist(rows(project, fold), schema=empty)
+
+    dealt = ddl_events(docs).select("project_id", *Event._fields).repartition("project_id").sortWithinPartitions(*order)
+    return dealt.mapInArrow(replay, ENTRIES)
 
 
 def catalog_columns(entries: DataFrame) -> DataFrame:
@@ -338,12 +379,54 @@ def catalog_notes(entries: DataFrame) -> DataFrame:
     return entries.where("kind = 'note'").select("project_id", F.col("data_type").alias("kind"), F.col("name").alias("subject"), "file_ord", "line")
 
 
+NOTES = {
+    "skipped": "is not replayed", "missing_table": "names a table that the catalog doesn't have", "duplicate_table": "creates a table that exists; the newer one counts", "malformed": "is cut short; nothing was changed",
+}
+
+
+def note_texts(entries: DataFrame) -> DataFrame:
+    """``project_id, kind, subject, file_ord, line, text`` of each note: where and what, in words."""
+    said = F.lit(None).cast("string")
+    for kind, words in NOTES.items():
+        said = F.when(F.col("kind") == kind, words).otherwise(said)
+    return catalog_notes(entries).withColumn("text", F.concat(F.lit("file "), F.col("file_ord").cast("string"), F.lit(", line "), F.col("line").cast("string"), F.lit(": "), "subject", F.lit(" "), said))
+
+
+def summary(entries: DataFrame) -> DataFrame:
+    """``project_id, n_databases, n_tables, n_columns, n_indexes, n_foreign_keys, n_notes``."""
+    kinds = {"database": "n_databases", "table": "n_tables", "column": "n_columns", "index": "n_indexes", "foreign_key": "n_foreign_keys", "note": "n_notes"}
+    return entries.groupBy("project_id").agg(*(F.count_if(F.col("kind") == k).alias(n) for k, n in kinds.items()))
+
+
+VERSION = 1
+
+
+def write_catalog(entries: DataFrame, path: str) -> None:
+    """The catalog as a table that :func:`read_catalog` and ``findings(.., catalog=)`` take."""
+    entries.withColumn("version", F.lit(VERSION)).write.mode("overwrite").partitionBy("version").parquet(path)
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`write_catalog` wrote; ValueError for another version."""
+    found = spark.read.schema(f"{ENTRIES}, version int").parquet(path)
+    if not found.where(F.col("version") != VERSION).isEmpty():
+        raise ValueError(f"the catalog at {path} isn't of version {VERSION}")
+    return found.drop("version")
+
+
+def known_columns(entries: DataFrame) -> DataFrame:
+    """``table_key, column_key, nullable`` of a catalog, as lint asks it."""
+    return catalog_columns(entries).select("table_key", "column_key", "nullable")
+
+
 def merged(older: DataFrame, newer: DataFrame) -> DataFrame:
-    """Two catalogs' entries; of tables in both, the newer's."""
+    """Two catalogs' entries, in order: of tables in both, the newer's; each database once; the notes of both."""
     table = ["project_id", "db_key", "table_key"]
     replaced = newer.where("kind = 'table'").select(*table)
-    kept = older.join(replaced, table, "left_anti")
-    return kept.unionByName(newer)
+    own = older.where("kind not in ('database', 'note')").join(replaced, table, "left_anti")
+    databases = older.where("kind = 'database'").join(newer.where("kind = 'database'").select("project_id", "db_key"), ["project_id", "db_key"], "left_anti")
+    notes = older.where("kind = 'note'").join(newer.where("kind = 'note'").select("project_id", "name", "data_type", "file_ord", "line").distinct(), ["project_id", "name", "data_type", "file_ord", "line"], "left_anti")
+    return own.unionByName(databases).unionByName(notes).unionByName(newer)
 
 
 def lookup(entries: DataFrame, wanted: DataFrame, current: str = "") -> DataFrame:

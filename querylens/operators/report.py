@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querylens.plans.rules import RULES, SEVERITIES, rules_table
+from querylens.plans.rules import RULES, SEVERITIES, resolve, rules_table
 
 ORDER = ("stmt", "line", "col", "rule")
 LEVELS = {"error": "error", "warning": "warning", "info": "note"}
@@ -120,3 +120,15 @@ def report(docs: DataFrame, found: DataFrame, form: str = "text", **options) ->
 
 def list_rules(spark) -> DataFrame:
     return rules_table(spark).select("rule", "name", "category", "severity", "enabled", "message").orderBy("rule")
+
+
+def rule_totals(spark) -> DataFrame:
+    """``category, n, n_enabled``, and the totals with a null category: what a list of rules ends with."""
+    return rules_table(spark).rollup("category").agg(F.count("*").alias("n"), F.count_if("enabled").alias("n_enabled"))
+
+
+def explain(name: str) -> str:
+    """What a rule, by its identifier, number or name, looks for, in a few lines; ValueError if none."""
+    found = next(r for r in RULES if r.rule == resolve(name))
+    state = "on" if found.enabled else "off"
+    return f"{found.rule} {found.name}\ncategory: {found.category}\nseverity: {found.severity}\ndefault: {state}\n\n{found.message}.\n{found.suggestion}."

@@ -1,10 +1,13 @@
-"""SQL text as tables of tokens and statements.
+"""SQL text as tables of statements and tokens.
 
-The text is cut by one regular expression for each family of dialects, within the JVM; what a token
-stands in (statement, parentheses, query block, clause, join) follows from window functions over the
-tokens of a statement. All windows share one shuffle by document and statement.
+A text is cut by one regular expression for each family of dialects, within the JVM, and its pieces
+become statements in array functions on the document's own row: no shuffle. A statement's ``shape`` is
+its significant words with literals replaced and dotted names as one word; statements of one shape
+differ in nothing that rules look at, so what a word stands in (parentheses, query block, clause, join)
+is found once for each distinct shape, by window functions that share one shuffle.
 
-Frames of SQL text have ``doc_id, dialect, target, text``; other columns are ignored.
+Frames of SQL text have ``doc_id, dialect, target, text``; other columns are ignored. Null and empty
+texts have no statements.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ CLAUSES = ("SELECT", "FROM", "WHERE", "GROUP", "HAVING", "ORDER", "LIMIT", "SET"
 #: Words that are never a column's or an alias's name.
 KEYWORDS = (*CLAUSES, "JOIN", "LEFT", "RIGHT", "FULL", "INNER", "CROSS", "NATURAL", "OUTER", "ON", "USING", "AND", "OR", "NOT", "IN", "IS", "NULL", "LIKE", "ILIKE", "BETWEEN", "EXISTS", "BY", "AS", "DISTINCT", "ALL", "CASE", "WHEN", "THEN", "ELSE", "END", "ASC", "DESC", "TRUE", "FALSE", "INSERT", "DELETE", "CREATE", "TABLE", "WITH", "TOP")
 #: First words of statements that are kept as they are known; others are raw.
-STATEMENTS = ("SELECT", "WITH", "INSERT", "UPDATE", "DELETE", "CREATE", "ALTER", "DROP", "USE", "SET", "BEGIN", "START", "COMMIT", "ROLLBACK", "SHOW", "TRUNCATE", "COMMENT", "EXPLAIN", "GRANT", "REVOKE", "VALUES", "MERGE", "REPLACE", "CALL", "ANALYZE", "DESCRIBE", "LOCK", "UNLOCK", "RENAME", "OPTIMIZE")
+STATEMENTS = ("ASSERT", "ATTACH", "CACHE", "CASE", "CLOSE", "COPY", "DEALLOCATE", "DECLARE", "DENY", "DESC", "DETACH", "END", "EXEC", "EXECUTE", "EXPORT", "FETCH", "FLUSH", "IF", "INSTALL", "KILL", "LISTEN", "LOAD", "NOTIFY", "OPEN", "PRAGMA", "PREPARE", "PRINT", "RAISE", "RAISERROR", "RELEASE", "RESET", "RETURN", "SAVEPOINT", "TABLE", "UNCACHE", "UNLISTEN", "UNLOAD", "VACUUM", "WHILE", "SELECT", "WITH", "INSERT", "UPDATE", "DELETE", "CREATE", "ALTER", "DROP", "USE", "SET", "BEGIN", "START", "COMMIT", "ROLLBACK", "SHOW", "TRUNCATE", "COMMENT", "EXPLAIN", "GRANT", "REVOKE", "VALUES", "MERGE", "REPLACE", "CALL", "ANALYZE", "DESCRIBE", "LOCK", "UNLOCK", "RENAME", "OPTIMIZE")
 
 
 def pieces(dialect: Column, text: Column) -> Column:
@@ -49,128 +52,288 @@ def pieces(dialect: Column, text: Column) -> Column:
     return chosen
 
 
-def _kind(tok: Column, dialect: Column) -> Column:
-    mysql = dialect.isin("mysql", "mariadb")
+def _is_space(tok: Column, dialect: Column) -> Column:
+    """White space, comments, and the marks of conditional comments."""
     first = F.substring(tok, 1, 1)
-    space = F.regexp_like(tok, F.lit(r"\A\s")) | ((dialect == "mariadb") & (F.regexp_like(tok, F.lit(r"\A/\*M?![0-9]*\z")) | (tok == "*/")))
-    comment = tok.startswith("--") | tok.startswith("/*") | (mysql & (first == "#"))
-    string = (first == "'") | F.regexp_like(tok, F.lit(r"\A[NnEe]'")) | (mysql & (first == '"')) | ((dialect == "postgres") & (first == "$") & (F.length(tok) > 1))
-    quoted = (first.isin('"', "`")) | ((first == "[") & (F.length(tok) > 1))
-    return F.when(space, "space").when(comment, "comment").when(string, "string").when(quoted, "quoted").when(F.regexp_like(tok, F.lit(r"\A\.?[0-9]")), "number").when(F.regexp_like(tok, F.lit(r"\A[A-Za-z_@\x{80}-\x{10FFFF}]")), "word").otherwise("sign")
+    return first.isin(" ", "\n", "\t", "\r", "\f", "\x0b") | tok.startswith("--") | tok.startswith("/*") | ((first == "#") & dialect.isin("mysql", "mariadb")) | ((tok == "*/") & (dialect == "mariadb"))
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``doc_id, dialect, target, pos, tok, kind, line, col, piece``: all pieces but white space; statements are counted by ``;``.
+def _is_string(tok: Column, dialect: Column) -> Column:
+    first = F.substring(tok, 1, 1)
+    return (first == "'") | (F.substring(F.upper(tok), 1, 2).isin("N'", "E'")) | (dialect.isin("mysql", "mariadb") & (first == '"')) | ((dialect == "postgres") & (first == "$") & (F.length(tok) > 1))
 
-    piece is the number of the statement's piece of text in the document, empty ones included.
-    """
-    cut = docs.select("doc_id", "dialect", "target", F.posexplode(pieces(F.col("dialect"), F.col("text"))).alias("pos", "tok"))
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    cut = cut.withColumn("kind", _kind(F.col("tok"), F.col("dialect")))
-    at = F.coalesce(F.sum(F.length("tok")).over(before), F.lit(0))
-    breaks = F.length("tok") - F.length(F.translate("tok", "\n", ""))
-    cut = cut.withColumns({"at": at, "line": (F.coalesce(F.sum(breaks).over(before), F.lit(0)) + 1).cast("int")})
-    line_start = F.coalesce(F.max(F.when(F.instr("tok", "\n") > 0, F.col("at") + F.length("tok") - F.length(F.substring_index("tok", "\n", -1)))).over(before), F.lit(0))
-    ended = F.coalesce(F.sum(F.when((F.col("kind") == "sign") & (F.col("tok") == ";"), 1).otherwise(0)).over(before), F.lit(0))
-    cut = cut.withColumns({"col": (F.col("at") - line_start + 1).cast("int"), "piece": ended.cast("int")})
-    return cut.where("kind <> 'space' and not (kind = 'sign' and tok = ';')").drop("at")
+
+def _is_number(tok: Column) -> Column:
+    return F.substring(tok, 1, 1).between("0", "9") | (tok.startswith(".") & F.substring(tok, 2, 1).between("0", "9"))
+
+
+def kind_of(tok: Column, dialect: Column) -> Column:
+    """string, quoted, number, word or sign, of a significant token or a word of a shape."""
+    first = F.substring(tok, 1, 1)
+    quoted = first.isin('"', "`") | ((first == "[") & (F.length(tok) > 1))
+    return F.when(_is_string(tok, dialect), "string").when(quoted, "quoted").when(_is_number(tok), "number").when(F.regexp_like(tok, F.lit(r"\A[A-Za-z_@\x{80}-\x{10FFFF}]")), "word").otherwise("sign")
+
+
+def running(counts: Column) -> Column:
+    """Of an array of integers, the sum before each: in chunks, so that a long array isn't copied for each element."""
+
+    def chunk(done: Column, at: Column) -> Column:
+        inner = F.aggregate(F.slice(counts, at + 1, 1000), F.struct(done["total"].alias("total"), F.array().cast("array<int>").alias("sums")), lambda s, x: F.struct((s["total"] + x).alias("total"), F.concat(s["sums"], F.array(s["total"])).alias("sums")))
+        return F.transform(F.array(inner), lambda s: F.struct(s["total"].alias("total"), F.concat(done["parts"], F.array(s["sums"])).alias("parts")))[0]
+
+    start = F.struct(F.lit(0).alias("total"), F.array().cast("array<array<int>>").alias("parts"))
+    return F.flatten(F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(counts) - 1, F.lit(0)), F.lit(1000)), start, chunk)["parts"])
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is evaluated once a row, however often it is used: expressions aren't merged across a generator."""
+    return df.select(*df.columns, F.explode(F.array(value)).alias(name))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: Texts that create stored programs, whose bodies hold semicolons.
+PROGRAM = r"(?is)\bcreate\b[^;]*\b(?:procedure|function|trigger|event|package)\b.*\bbegin\b"
+
+
+def _ends(p: Column, text: Column) -> Column:
+    """Places (from 1) of the semicolons that end statements: those within BEGIN .. END of stored programs don't."""
+    ends = F.filter(F.transform(p, lambda x, i: F.when(x == ";", i + 1)), lambda i: i.isNotNull())
+
+    def delta(x: Column, i: Column) -> Column:
+        up = F.upper(x)
+        after = F.upper(F.coalesce(F.get(p, i + 2), F.lit("")))  # a space stands between
+        before = F.upper(F.coalesce(F.get(p, i - 2), F.lit("")))
+        opens = ((up == "BEGIN") & (F.coalesce(F.get(p, i + 1), F.lit(";")) != ";") & ~after.isin("TRANSACTION", "WORK")) | ((up == "CASE") & (before != "END"))
+        closes = (up == "END") & ~after.isin("IF", "LOOP", "WHILE", "REPEAT", "FOR")
+        return F.when(opens, 1).when(closes, -1).otherwise(0)
+
+    outside = _let(running(F.transform(p, delta)), lambda depth: F.filter(ends, lambda i: F.element_at(depth, i) <= 0))
+    return F.when(F.regexp_like(text, F.lit(PROGRAM)), outside).otherwise(ends)
+
+
+#: Between the words of a shape; no text may hold it.
+MARK = "\x01"
+#: Clauses that stand where an operand must.
+BROKEN = r"(?i)(?:^|\x01)(?:FROM|WHERE|HAVING|JOIN|SET)\x01(?:FROM|WHERE|GROUP|HAVING|ORDER|LIMIT|SET)(?:\x01|$)|(?:^|\x01)(?:WHERE|HAVING|JOIN|AND|OR|BY)$"
+
+
+def _statement_arrays(docs: DataFrame) -> DataFrame:
+    """``doc_id, dialect, target, stmts``: of each document its statements in order, in one array."""
+    dialect = F.col("dialect")
+    text = F.translate(F.coalesce("text", F.lit("")), MARK, " ")
+    cut = docs.select("doc_id", "dialect", "target", text.alias("text")).withColumn("p", pieces(dialect, F.col("text"))).withColumn("ends", _ends(F.col("p"), F.col("text")))
+    cut = cut.withColumn("line_starts", running(F.transform(F.split("text", "\n"), lambda x: F.length(x) + 1)))
+    p = F.col("p")
+    cut = cut.withColumn("bounds", F.concat(F.array(F.lit(0)), F.col("ends"), F.array(F.size(p) + 1))).drop("text")
+    breaks = lambda x: F.length(x) - F.length(F.translate(x, "\n", ""))
+    at = lambda k: F.element_at(F.col("bounds"), k)
+    toks = F.transform(F.sequence(F.lit(1), F.size("bounds") - 1), lambda k: F.slice(p, at(k) + 1, at(k + 1) - at(k) - 1))
+    cut = cut.select("doc_id", "dialect", "target", "line_starts", toks.alias("toks"))
+    cut = cut.withColumn("whole", F.transform("toks", lambda t: F.array_join(t, ""))).withColumn("before", running(F.transform("whole", breaks)))
+    # How many characters stand before each statement in its first line.
+    cut = cut.withColumn("chars", running(F.transform("whole", lambda t: F.length(t) + 1)))
+    cut = cut.withColumn("lead", F.transform("chars", lambda c, k: c - F.element_at(F.col("line_starts"), F.element_at(F.col("before"), k + 1) + 1)))
+    sig = lambda t: F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: ~_is_space(F.element_at(t, i), dialect))
+    one = F.transform("toks", lambda t, i: F.struct(i.alias("piece"), (F.element_at(F.col("before"), i + 1) + 1).alias("line"), F.element_at(F.col("lead"), i + 1).alias("lead"), t.alias("toks"), F.when(F.size(t) > 0, sig(t)).otherwise(F.array().cast("array<int>")).alias("sig")))
+
+    def words(s: Column) -> Column:
+        number = lambda x: _is_number(F.coalesce(x, F.lit("")))
+
+        def plain(i: Column, k: Column) -> Column:
+            word = lambda n: F.get(s["toks"], F.get(s["sig"], k + n) - 1)
+            x = F.element_at(s["toks"], i)
+            wild = (F.substring(x, 2, 1) == "%") | ((F.substring(x, 2, 1) == "'") & (F.substring(x, 3, 1) == "%"))
+            # Two numbers on both sides of = stay as they are: whether they are equal matters.
+            equal = (F.coalesce(word(1) == "=", F.lit(False)) & number(word(2))) | (F.coalesce(word(-1) == "=", F.lit(False)) & number(word(-2)))
+            return F.when(_is_string(x, dialect), F.when(wild, "'%'").otherwise("'s'")).when(_is_number(x) & ~equal, "0").otherwise(x)
+
+        return F.transform(s["sig"], plain)
+
+    def judged(s: Column) -> Column:
+        tok = lambda i: F.element_at(s["toks"], i)
+        signs = F.filter(s["words"], lambda x: x.isin("(", ")"))
+        depth = F.aggregate(signs, F.struct(F.lit(0).alias("now"), F.lit(0).alias("least")), lambda d, x: F.struct((d["now"] + F.when(x == "(", 1).otherwise(-1)).alias("now"), F.least(d["least"], d["now"] + F.when(x == "(", 1).otherwise(-1)).alias("least")))
+        quote = lambda x: F.when(F.substring(F.upper(x), 1, 2).isin("N'", "E'"), "'").otherwise(F.substring(x, 1, 1))
+        unclosed = F.exists(s["sig"], lambda i: quote(tok(i)).isin("'", '"', "`") & ((F.substring(tok(i), -1, 1) != quote(tok(i))) | (F.length(tok(i)) == 1)))
+        shape = F.regexp_replace(F.array_join(s["words"], MARK), MARK + r"\.(?:" + MARK + r"\.)*" + MARK, ".")
+        is_dot = lambda k: F.coalesce(F.get(s["words"], k) == ".", F.lit(False))
+        starts = F.filter(F.transform(s["sig"], lambda i, k: F.when(~is_dot(k) & ~(is_dot(k - 1) & (k > 1)), i)), lambda i: i.isNotNull())
+        sql = F.regexp_replace(F.element_at(F.col("whole"), s["piece"] + 1), r"\A\s+|\s+\z", "")
+        lead = F.array_join(F.slice(s["toks"], 1, F.greatest(F.coalesce(F.array_position(F.transform(s["toks"], lambda x: F.trim(x, F.lit(" \t\n\r")) != ""), True), F.lit(1)).cast("int") - 1, F.lit(0))), "")
+        return F.struct(
+            *(s[c].alias(c) for c in ("piece", "line", "lead", "toks", "sig")), starts.alias("starts"), shape.alias("shape"), sql.alias("sql"), F.upper(F.get(s["words"], F.lit(0))).alias("head"),
+            (s["line"] + breaks(lead)).alias("start_line"), (F.size(s["sig"]) > 0).alias("real"), (sql != "").alias("some"),
+            ((depth["now"] != 0) | (depth["least"] < 0) | unclosed | F.regexp_like(shape, F.lit(BROKEN))).alias("broken"),
+        )
+
+    stmts = F.transform(F.transform(one, lambda s: F.struct(*(s[c].alias(c) for c in ("piece", "line", "lead", "toks", "sig")), words(s).alias("words"))), judged)
+    return cut.select("doc_id", "dialect", "target", stmts.alias("stmts"))
+
+
+#: Fixed values, in the order in which they are tried: why a statement of MariaDB is kept as raw text, by what its
+#: upper-case text begins with or holds.
+RAW_REASONS = (
+    ("system_versioning", None, ("WITH SYSTEM VERSIONING", "PERIOD FOR SYSTEM_TIME")),
+    ("temporal_query", None, ("FOR SYSTEM_TIME",)),
+    ("create_package", r"CREATE (OR REPLACE )?PACKAGE", ()),
+    ("sequence_options", r"CREATE (OR REPLACE )?SEQUENCE", ()),
+    ("vector_type", None, ("VECTOR(", "VEC_DISTANCE")),
+    ("delimiter", "DELIMITER", ()),
+    ("stored_program_body", r"CREATE (TRIGGER|FUNCTION|PROCEDURE)", ()),
+    ("optimization_hint", "ALTER TABLE", (" DISABLE KEYS", " ENABLE KEYS")),
+    ("definer_clause", r"CREATE (DEFINER|ALGORITHM)=", ()),
+    ("definer_clause", None, ("DEFINER=`",)),
+    ("create_event", "CREATE EVENT", ()),
+)
 
 
 def raw_reason(text: Column) -> Column:
     """Why a statement of MariaDB is kept as raw text; the first reason that applies."""
-    head = F.regexp_replace(F.ltrim(F.upper(text)), r"\A/\*M?![0-9]*\s*", "")
-    starts = lambda p: F.regexp_like(head, F.lit(r"\A" + p))
-    has = lambda *w: F.greatest(*(F.contains(head, F.lit(x)) for x in w)) if len(w) > 1 else F.contains(head, F.lit(w[0]))
-    return (
-        F.when(has("WITH SYSTEM VERSIONING", "PERIOD FOR SYSTEM_TIME"), "system_versioning")
-        .when(has("FOR SYSTEM_TIME"), "temporal_query")
-        .when(starts(r"CREATE (OR REPLACE )?PACKAGE"), "create_package")
-        .when(starts(r"CREATE (OR REPLACE )?SEQUENCE"), "sequence_options")
-        .when(has("VECTOR(", "VEC_DISTANCE"), "vector_type")
-        .when(starts("DELIMITER"), "delimiter")
-        .when(starts(r"CREATE (TRIGGER|FUNCTION|PROCEDURE)"), "stored_program_body")
-        .when(starts("ALTER TABLE") & has(" DISABLE KEYS", " ENABLE KEYS"), "optimization_hint")
-        .when(starts(r"CREATE (DEFINER|ALGORITHM)=") | has("DEFINER=`"), "definer_clause")
-        .when(starts("CREATE EVENT"), "create_event")
-        .otherwise("unrepresented")
-    )
+
+    def of(head: Column) -> Column:
+        found = F.lit("unrepresented")
+        for name, start, held in reversed(RAW_REASONS):
+            begins = F.regexp_like(head, F.lit(r"\A" + start)) if start else F.lit(True)
+            holds = F.lit(not held)
+            for h in held:
+                holds |= F.contains(head, F.lit(h))
+            found = F.when(begins & holds, name).otherwise(found)
+        return found
+
+    return _let(F.regexp_replace(F.ltrim(F.upper(text)), r"\A/\*M?![0-9]*\s*", ""), of)
 
 
 def statements(docs: DataFrame) -> DataFrame:
-    """``doc_id, dialect, target, stmt, sql, kind, is_raw, raw_reason, start_line, status``; empty pieces are skipped.
+    """``doc_id, dialect, target, stmt, sql, kind, is_raw, raw_reason, start_line, status`` and what a statement is made of; empty ones are skipped.
 
-    There is no grammar: MariaDB's own statements are recognised by :func:`raw_reason`, and a statement
-    with an unknown first word, unclosed quote or unmatched parenthesis is raw in MariaDB and makes the
-    document's status ``parse_error`` elsewhere, as a document is taken whole there.
+    There is no grammar: MariaDB's own statements are recognised by :func:`raw_reason`. An unclosed quote,
+    an unmatched parenthesis or a clause without its operand makes a statement raw in MariaDB and the whole
+    document's status ``parse_error`` elsewhere, as a document is taken whole there. An unknown first word
+    makes a statement raw in MariaDB; elsewhere its kind is UNKNOWN and no rule applies to it.
+
+    ``toks`` are all pieces of its text, ``sig`` the places of the significant ones, ``starts`` those where
+    the words of ``shape`` begin; its first piece stands in ``line``, behind ``lead`` characters.
     """
-    cut = docs.select("doc_id", "dialect", "target", F.posexplode(pieces(F.col("dialect"), F.col("text"))).alias("pos", "tok")).withColumn("kind", _kind(F.col("tok"), F.col("dialect")))
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    end = (F.col("kind") == "sign") & (F.col("tok") == ";")
-    lines = F.length("tok") - F.length(F.translate("tok", "\n", ""))
-    cut = cut.withColumns({"piece": F.coalesce(F.sum(end.cast("int")).over(before), F.lit(0)), "line": F.coalesce(F.sum(lines).over(before), F.lit(0)) + 1})
-    real = ~F.col("kind").isin("space", "comment")
-    lead_lines = F.when(F.col("kind") != "space", F.col("line"))
-    mark = F.when((F.col("kind") == "sign") & (F.col("tok") == "("), 1).when((F.col("kind") == "sign") & (F.col("tok") == ")"), -1).otherwise(0)
-    last = F.substring("tok", -1, 1)
-    quote = F.when(F.regexp_like("tok", F.lit(r"\A[NnEe]'")), "'").otherwise(F.substring("tok", 1, 1))
-    unclosed = F.col("kind").isin("string", "quoted") & (quote != "$") & (quote != "[") & ((last != quote) | (F.length("tok") == 1))
-    by_piece = cut.where(~end).groupBy("doc_id", "dialect", "target", "piece").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]), "").alias("whole"),
-        F.min_by(F.upper("tok"), F.when(real, F.col("pos"))).alias("kind"),
-        F.min(lead_lines).alias("start_line"), F.sum(mark).alias("open"), F.max(unclosed.cast("int")).alias("unclosed"), F.max(real.cast("int")).alias("real"),
-    )
-    by_piece = by_piece.where("start_line is not null").withColumn("sql", F.regexp_replace("whole", r"\A\s+|\s+\z", ""))
-    reason = raw_reason(F.col("sql"))
-    broken = (F.col("open") != 0) | (F.col("unclosed") == 1) | ~F.coalesce(F.col("kind").isin(*STATEMENTS) | (F.col("kind") == "("), F.lit(False))
-    plain_sequence = (reason == "sequence_options") & F.regexp_like(F.upper("sql"), F.lit(r"\ACREATE SEQUENCE [^ ]+( START WITH [0-9]+| INCREMENT BY [0-9]+| MINVALUE [0-9]+| MAXVALUE [0-9]+| CACHE [0-9]+)*\z"))
-    raw = (F.col("dialect") == "mariadb") & (broken | ((reason != "unrepresented") & ~plain_sequence))
+    mariadb = F.col("dialect") == "mariadb"
+    fields = ("piece", "line", "lead", "toks", "sig", "starts", "shape", "sql", "head", "start_line", "real", "some", "broken")
+
+    def reasoned(s: Column) -> Column:
+        return F.struct(*(s[c].alias(c) for c in fields), F.when(mariadb, raw_reason(s["sql"])).alias("reason"))
+
+    def judged(s: Column) -> Column:
+        plain_sequence = (s["reason"] == "sequence_options") & F.regexp_like(F.upper(s["sql"]), F.lit(r"\ACREATE SEQUENCE [^ ]+( START WITH [0-9]+| INCREMENT BY [0-9]+| MINVALUE [0-9]+| MAXVALUE [0-9]+| CACHE [0-9]+)*\z"))
+        known = F.coalesce(s["head"].isin(*STATEMENTS, "("), F.lit(False))
+        own = F.coalesce(mariadb & (s["broken"] | ~known | ((s["reason"] != "unrepresented") & ~plain_sequence)), F.lit(False))
+        return F.struct(*(s[c].alias(c) for c in (*fields, "reason")), own.alias("is_raw"), known.alias("known"))
+
+    judged = _once(_statement_arrays(docs).withColumnRenamed("stmts", "cut"), "stmts", F.transform(F.transform("cut", reasoned), judged)).drop("cut")
+    judged = _once(judged, "some_raw", mariadb & F.exists("stmts", lambda s: s["is_raw"] & s["real"]))
     # A piece of comments alone is no statement, but on MariaDB's way by pieces.
-    some_raw = F.max(raw & (F.col("real") == 1)).over(Window.partitionBy("doc_id"))
-    rows = by_piece.withColumns({"is_raw": F.coalesce(raw, F.lit(False)), "broken": broken & (F.col("real") == 1), "keep": (F.col("real") == 1) | ((F.col("dialect") == "mariadb") & some_raw)}).where("keep")
-    failed = F.max((F.col("dialect") != "mariadb") & F.col("broken")).over(Window.partitionBy("doc_id"))
-    stmt = F.row_number().over(Window.partitionBy("doc_id").orderBy("piece")) - 1
-    rows = rows.withColumns({"stmt": stmt, "status": F.when(failed, "parse_error").otherwise("ok"), "raw_reason": F.when(F.col("is_raw"), reason)})
-    return rows.select("doc_id", "dialect", "target", "piece", "stmt", "sql", F.when(F.col("is_raw"), "RAW").otherwise(F.col("kind")).alias("kind"), "is_raw", "raw_reason", "start_line", "status")
+    failed = ~mariadb & F.exists("stmts", lambda s: s["broken"] & s["real"])
+    kept = judged.select("doc_id", "dialect", "target", F.when(failed, "parse_error").otherwise("ok").alias("status"), F.filter("stmts", lambda s: s["real"] | (F.col("some_raw") & s["some"])).alias("kept"))
+    rows = kept.select("doc_id", "dialect", "target", "status", F.posexplode("kept").alias("stmt", "s"))
+    rows = rows.select("doc_id", "dialect", "target", "status", "stmt", "s.*")
+    kind = F.when(F.col("is_raw"), "RAW").when(F.col("known"), F.col("head")).otherwise("UNKNOWN")
+    return rows.withColumns({"kind": kind, "raw_reason": F.when(F.col("is_raw"), F.col("reason"))}).drop("known", "reason", "some")
+
 
+def shape_id() -> Column:
+    return F.sha2(F.concat_ws(MARK, "dialect", F.coalesce("target", F.lit("")), F.col("is_raw").cast("string"), "shape"), 256)
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """Each word and sign with what stands around it.
 
-    ``depth`` and ``block`` number the parentheses that a token stands in (a parenthesis belongs to its
-    own inside), ``select_no`` the SELECTs of a block, ``clause`` and ``clause_no`` the clause,
-    ``join_no`` the joins of a FROM; ``before``/``after`` are the neighbours, nearest first.
+def shapes(stmts: DataFrame) -> DataFrame:
+    """``sid, dialect, target, is_raw, shape`` of the distinct shapes of statements; equal ones collapse before the shuffle."""
+    return stmts.where("status = 'ok' and kind <> 'UNKNOWN' and real").groupBy(shape_id().alias("sid")).agg(*(F.first(c).alias(c) for c in ("dialect", "target", "is_raw", "shape")))
+
+
+#: Words that may stand before a parenthesis without calling anything; LEFT and RIGHT also name functions.
+NO_CALL = (*(k for k in KEYWORDS if k not in ("LEFT", "RIGHT")), "ANY", "SOME", "OVER", "KEY", "INDEX", "REFERENCES", "CHECK")
+#: Operands of conditions begin after one of these.
+LOGIC = ("SELECT", "FROM", "WHERE", "HAVING", "ON", "AND", "OR", "WHEN", "THEN", "ELSE", "CASE", "BY", "SET", "VALUES", "RETURNING", "DISTINCT", "ALL", "UNION", "LIMIT", "OFFSET", "AS", "USING", ",")
+REACH = 9
+
+
+def word_table(shapes: DataFrame) -> DataFrame:
+    """Each word of each shape with what stands around it, for the tables of :func:`shapes`.
+
+    ``depth`` and ``block`` number the parentheses that a word stands in (a parenthesis belongs to its own
+    inside), ``q_depth`` and ``q_block`` those of them that hold queries: what is in grouping parentheses or
+    a call's arguments belongs to the query around them. ``own`` words stand directly in their query;
+    ``calls`` counts the calls, lists and CASEs between a word and its query. ``clause``, ``select_no`` and
+    ``join_no`` say where in the query, ``opener`` what stands before and ``closer`` what stands after the
+    parentheses, ``q_opener`` and ``q_closer`` the query's; ``outer`` is where the query itself stands.
+    ``operand`` is where the operand of a condition that a word ends or joins begins, ``chain`` the same for
+    a chain of AND and OR; ``last`` and ``next`` are the boundaries on both sides.
     """
-    t = located(docs).where("kind <> 'comment'")
-    t = t.withColumn("up", F.when(F.col("kind") == "word", F.upper("tok")).otherwise(F.col("tok")))
-    whole = Window.partitionBy("doc_id", "piece").orderBy("pos")
-    so_far = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_open, is_close = (F.col("kind") == "sign") & (F.col("tok") == "("), (F.col("kind") == "sign") & (F.col("tok") == ")")
-    near = lambda c, n: F.array(*(F.lag(c, i).over(whole) for i in range(1, n + 1)))
-    far = lambda c, n: F.array(*(F.lead(c, i).over(whole) for i in range(1, n + 1)))
+    words = shapes.withColumn("words", F.split("shape", MARK)).drop("shape")
+    t = words.select("sid", "dialect", "target", "is_raw", "words", F.posexplode("words").alias("pos", "tok"))
+    near = lambda c: F.transform(c, lambda x: F.when(F.substring(x, 1, 1).isin("'", '"', "`", "["), x).otherwise(F.upper(x)))
+    back = F.reverse(F.slice("words", F.greatest(F.col("pos") - REACH + 1, F.lit(1)), F.least(F.col("pos"), F.lit(REACH))))
+    t = t.select(
+        "sid", "dialect", "target", "is_raw", "pos", "tok", kind_of(F.col("tok"), F.col("dialect")).alias("kind"), near(back).alias("before"), near(F.slice("words", F.col("pos") + 2, REACH)).alias("after"),
+        F.upper(F.get("words", F.lit(0))).alias("first"), F.upper(F.get("words", F.lit(1))).alias("second"), F.upper(F.get("words", F.lit(2))).alias("third"),
+    )
+    b, a = (lambda i: F.get("before", F.lit(i))), (lambda i: F.get("after", F.lit(i)))
+    is_ = lambda c, *v: F.coalesce(c.isin(*v), F.lit(False))
+    up = F.when(F.col("kind") == "word", F.upper("tok")).otherwise(F.col("tok"))
+    t = t.withColumn("up", up)
+    is_open, is_close, word = F.col("tok") == "(", F.col("tok") == ")", F.col("kind") == "word"
+    whole = Window.partitionBy("sid").orderBy("pos")
+    until, earlier = (Window.unboundedPreceding, Window.currentRow), (Window.unboundedPreceding, -1)
+    n = lambda c: F.sum(c.cast("int"))
+    t = t.withColumn("depth", (n(is_open).over(whole.rowsBetween(*until)) - F.coalesce(n(is_close).over(whole.rowsBetween(*earlier)), F.lit(0))).cast("int"))
+    t = t.withColumn("block", n(is_open).over(Window.partitionBy("sid", "depth").orderBy("pos").rowsBetween(*until)).cast("int"))
+    inside = Window.partitionBy("sid", "depth", "block").orderBy("pos")
+    everything = (Window.unboundedPreceding, Window.unboundedFollowing)
+    name = ~is_(up, *KEYWORDS) & F.col("kind").isin("word", "quoted")
+    call = F.coalesce(F.regexp_like(b(0), F.lit(r"\A[A-Z_@`\"\[\x{80}-\x{10FFFF}]")), F.lit(False)) & ~is_(b(0), *NO_CALL)
     t = t.withColumns({
-        "depth": (F.sum(is_open.cast("int")).over(so_far) - F.coalesce(F.sum(is_close.cast("int")).over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("int"),
-        "before": near("up", 6), "after": far("up", 7), "before_kind": near("kind", 4), "after_kind": far("kind", 4),
-        "first": F.first("up").over(so_far), "second": F.nth_value("up", 2).over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "third": F.nth_value("up", 3).over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        "opener": F.first(F.struct("pos", b(0).alias("prev"), b(1).alias("prev2"), a(0).alias("head"), is_(a(0), "SELECT", "WITH", "VALUES").alias("query"), call.alias("call"))).over(inside.rowsBetween(*until)),
+        "closer": F.last(a(0)).over(inside.rowsBetween(*everything)),
+        # Whether an argument is a column's name alone.
+        "bare": F.max(name & (is_(b(0), "(", ",") | (is_(b(0), "DISTINCT") & is_(b(1), "("))) & is_(a(0), ")", ",")).over(inside.rowsBetween(*everything)),
+    })
+    query, apart = F.coalesce(F.col("opener.query"), F.lit(False)) & (F.col("depth") > 0), F.coalesce(F.col("opener.call") | F.col("opener.prev").isin("IN", "OVER", "ANY", "SOME", "ALL"), F.lit(False)) & (F.col("depth") > 0)
+    case, end = word & (up == "CASE"), word & (up == "END")
+    t = t.withColumns({
+        "q_depth": (n(is_open & query).over(whole.rowsBetween(*until)) - F.coalesce(n(is_close & query).over(whole.rowsBetween(*earlier)), F.lit(0))).cast("int"),
+        "all_calls": (n((is_open & apart & ~query) | case).over(whole.rowsBetween(*until)) - F.coalesce(n((is_close & apart & ~query) | end).over(whole.rowsBetween(*earlier)), F.lit(0))).cast("int"),
+        "call_after": F.lead(F.struct("bare", "closer", call.alias("call")), 2).over(whole), "call_before": F.lag(F.struct("opener.pos", "bare", "opener.call", is_close.alias("closes"))).over(whole),
         "nth": F.row_number().over(whole),
     })
-    level = Window.partitionBy("doc_id", "piece", "depth").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumn("block", F.sum(is_open.cast("int")).over(level).cast("int"))
-    inside = Window.partitionBy("doc_id", "piece", "depth", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    word = F.col("kind") == "word"
-    begins = word & F.col("up").isin(*CLAUSES) & ~((F.col("up") == "UPDATE") & F.coalesce(F.col("before")[0].isin("KEY", "DO", "FOR", "ON"), F.lit(False))) & ~((F.col("up") == "SET") & F.coalesce(F.col("before")[0].isin("CHARACTER", "ON"), F.lit(False)))
+    t = t.withColumn("q_block", n(is_open & query).over(Window.partitionBy("sid", "q_depth").orderBy("pos").rowsBetween(*until)).cast("int"))
+    of_query = Window.partitionBy("sid", "q_depth", "q_block").orderBy("pos")
+    t = t.withColumns({
+        "own": F.col("depth") == F.first("depth").over(of_query.rowsBetween(*until)), "calls": F.col("all_calls") - F.first("all_calls").over(of_query.rowsBetween(*until)),
+        "q_opener": F.first("opener").over(of_query.rowsBetween(*until)), "q_closer": F.last("closer").over(of_query.rowsBetween(*everything)),
+    })
+    begins = word & F.col("own") & up.isin(*CLAUSES) & ~((up == "UPDATE") & is_(b(0), "DO", "FOR", "ON")) & ~((up == "SET") & is_(b(0), "CHARACTER", "ON"))
+    t = t.withColumns({
+        "select_no": n(word & F.col("own") & (up == "SELECT")).over(of_query.rowsBetween(*until)).cast("int"),
+        "clause": F.last(F.when(begins, up), ignorenulls=True).over(of_query.rowsBetween(*until)),
+        "clause_no": n(begins).over(of_query.rowsBetween(*until)).cast("int"),
+    })
+    of_select = Window.partitionBy("sid", "q_depth", "q_block", "select_no").orderBy("pos")
+    in_from = F.col("own") & (F.col("clause") == "FROM")
     t = t.withColumns({
-        "select_no": F.sum((word & (F.col("up") == "SELECT")).cast("int")).over(inside).cast("int"),
-        "clause": F.last(F.when(begins, F.col("up")), ignorenulls=True).over(inside),
-        "clause_no": F.sum(begins.cast("int")).over(inside).cast("int"),
+        "join_no": n(F.coalesce(word & (up == "JOIN") & in_from, F.lit(False))).over(of_select.rowsBetween(*until)).cast("int"),
+        "in_on": F.coalesce(F.last(F.when(in_from & (up == "ON"), True).when(in_from & up.isin("JOIN", ",", "USING"), False), ignorenulls=True).over(of_select.rowsBetween(*until)), F.lit(False)) & (F.col("clause") == "FROM"),
+        "around": F.lag(F.struct("q_depth", "q_block", "select_no", "clause", "own", "calls")).over(whole),
     })
-    in_select = Window.partitionBy("doc_id", "piece", "depth", "block", "select_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_join = word & (F.col("up") == "JOIN") & (F.col("clause") == "FROM")
-    outer = lambda c: F.lag(c).over(whole)
+    infix = (up == "NOT") & is_(a(0), "LIKE", "ILIKE", "IN", "BETWEEN", "REGEXP", "RLIKE")
+    between = (up == "AND") & F.exists(F.slice("before", 1, 5), lambda x: x == "BETWEEN")
+    edge = ((word & up.isin(*LOGIC, "NOT")) | (up == ",")) & ~infix & ~between
+    spot = F.struct("pos", "up", a(0).alias("a0"), a(1).alias("a1"), a(2).alias("a2"))
+    t = t.withColumn("around", F.first("around").over(of_query.rowsBetween(*until))).withColumnRenamed("around", "outer")
     t = t.withColumns({
-        "join_no": F.sum(F.coalesce(is_join.cast("int"), F.lit(0))).over(in_select).cast("int"),
-        "outer_now": F.struct(outer("depth").alias("depth"), outer("block").alias("block"), outer("select_no").alias("select_no"), outer("clause").alias("clause")),
+        "last": F.coalesce(F.last(F.when(edge | is_open, spot), ignorenulls=True).over(inside.rowsBetween(*earlier))),
+        "chain": F.last(F.when((edge & ~up.isin("AND", "OR", "NOT")) | is_open, spot), ignorenulls=True).over(inside.rowsBetween(*earlier)),
+        "next": F.first(F.when(edge, up), ignorenulls=True).over(inside.rowsBetween(1, Window.unboundedFollowing)),
     })
-    return t.withColumns({
-        "opener": F.first(F.struct(F.col("before")[0].alias("prev"), F.col("before")[1].alias("prev2"), F.col("before_kind")[0].alias("prev_kind"), F.col("after")[0].alias("head"), F.col("after_kind")[0].alias("head_kind"))).over(inside),
-        "outer": F.first("outer_now").over(inside),
-    }).drop("outer_now")
+    # Grouping parentheses at its beginning and NOT don't count as a part of an operand.
+    skipped = lambda s: F.when(s["a0"].isin("(", "NOT"), F.when(s["a1"].isin("(", "NOT"), s["pos"] + 3).otherwise(s["pos"] + 2)).otherwise(s["pos"] + 1)
+    return t.withColumns({"operand": F.coalesce(skipped(F.col("last")), F.lit(0)), "chained": F.coalesce(skipped(F.col("chain")), F.lit(0))})

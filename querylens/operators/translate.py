@@ -12,36 +12,26 @@ from pyspark.sql import functions as F
 from querylens.plans.dialects import dialect_caps
 from querylens.sources.work import stored
 
-from .tokens import located, statements
+from .tokens import MARK, running, statements
 
 #: The warnings' codes; the third is reserved and never given.
 CODES = ("RETURNING_DROPPED", "SEQUENCE_DROPPED", "ON_DUPLICATE_KEY_UNSUPPORTED", "RAW_PASSTHROUGH")
 
 
-def _without_returning(docs: DataFrame) -> DataFrame:
-    """``doc_id, piece, cut``: where a statement's RETURNING begins at depth 0, counted in characters of its text."""
-    t = located(docs).where("kind <> 'comment'")
-    depth = F.expr("sum(case when kind = 'sign' and tok = '(' then 1 when kind = 'sign' and tok = ')' then -1 else 0 end) over (partition by doc_id, piece order by pos)")
-    found = t.withColumn("depth", depth).where("kind = 'word' and upper(tok) = 'RETURNING' and depth = 0")
-    return found.groupBy("doc_id", "piece").agg(F.min(F.struct("line", "col")).alias("at"))
-
-
 def rewritten(docs: DataFrame) -> DataFrame:
     """Statements with ``sql`` as the target runs it, ``code`` of the warning if any, and what was dropped."""
     s = statements(docs).where("status = 'ok'")
     goal = dialect_caps(docs.sparkSession)  # six rows
     goal = goal.withColumnsRenamed({c: f"to_{c}" for c in goal.columns})
-    s = s.join(F.broadcast(goal), F.col("target") == F.col("to_dialect"), "left").join(_without_returning(docs), ["doc_id", "piece"], "left")
+    s = s.join(F.broadcast(goal), F.col("target") == F.col("to_dialect"), "left")
     lacks = F.coalesce(F.when(F.col("kind") == "INSERT", ~F.col("to_returning_insert")).when(F.col("kind") == "UPDATE", ~F.col("to_returning_update")).when(F.col("kind") == "DELETE", ~F.col("to_returning_delete")), F.lit(False))
-    drop = ~F.col("is_raw") & F.col("at").isNotNull() & lacks
-    # The clause is the statement's last: what stands before its line and column stays.
-    lines = F.split("sql", "\n")
-    row = F.col("at.line") - F.col("start_line")
-    last = F.element_at(lines, (row + 1).cast("int"))
-    column = F.when(row == 0, F.col("at.col") - F.col("start_col")).otherwise(F.col("at.col") - 1)
-    kept = F.rtrim(F.concat_ws("\n", F.slice(lines, F.lit(1), row.cast("int")), F.substring(last, F.lit(1), column.cast("int"))))
-    first = located(docs).groupBy("doc_id", "piece").agg(F.min_by("col", "pos").alias("start_col"))
-    s = s.join(first, ["doc_id", "piece"], "left")
+    # RETURNING outside all parentheses, the statement's last clause: what stands before it stays.
+    words = F.split("shape", MARK)
+    depth = running(F.transform(words, lambda x: F.when(x == "(", 1).when(x == ")", -1).otherwise(0)))
+    places = F.filter(F.transform(F.arrays_zip(words.alias("w"), depth.alias("d")), lambda x, i: F.when((F.upper(x["w"]) == "RETURNING") & (x["d"] == 0), i)), lambda i: i.isNotNull())
+    s = s.withColumn("at", F.when(~F.col("is_raw") & lacks & F.contains(F.upper("shape"), F.lit("RETURNING")), F.get(places, F.lit(0))))
+    drop = F.col("at").isNotNull()
+    kept = F.regexp_replace(F.array_join(F.slice("toks", 1, F.get("starts", F.col("at")) - 1), ""), r"\A\s+|\s+\z", "")
     sequence = ~F.col("is_raw") & (F.col("kind") == "CREATE") & F.regexp_like(F.upper("sql"), F.lit(r"\ACREATE\s+SEQUENCE\b")) & ~F.coalesce("to_create_sequence", F.lit(True))
     raw = F.col("is_raw") & (F.col("target") != "mariadb")
     code = F.when(raw, "RAW_PASSTHROUGH").when(drop, "RETURNING_DROPPED").when(sequence, "SEQUENCE_DROPPED")

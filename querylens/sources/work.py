@@ -14,6 +14,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:  # one machine, as in tests
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = os.path.join(tempfile.gettempdir(), "querylens-work")
     df.write.parquet(path := f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
     return spark.read.schema(df.schema).parquet(path)

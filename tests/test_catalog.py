@@ -1,8 +1,10 @@
 """DDL replay: one case for each kind of statement."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from querylens.operators.catalog import build_catalog, catalog_columns, catalog_foreign_keys, catalog_indexes, catalog_notes, lookup, merged
+from querylens.operators.catalog import build_catalog, catalog_columns, catalog_foreign_keys, catalog_indexes, catalog_notes, known_columns, lookup, merged, note_texts, read_catalog, summary, write_catalog
+from querylens.operators.lint import findings
 
 DOCS = "doc_id long, project_id string, file_ord long, dialect string, target string, text string"
 BASE = "CREATE TABLE t (id INT NOT NULL, a VARCHAR(10), PRIMARY KEY (id), KEY k1 (a));"
@@ -64,3 +66,27 @@ def test_lookup_and_merge(spark, entries):
     assert [(r["name"], r["db_key"]) for r in lookup(entries, wanted, "d").collect()] == [("Z", "d")]
     older, newer = entries.where("project_id = 'add'"), entries.where("project_id = 'add'")
     assert merged(older, newer).where("kind = 'column'").count() == 3
+    both = merged(entries.where("project_id = 'notes'"), entries.where("project_id = 'notes'"))
+    assert summary(both).first().asDict() == summary(entries.where("project_id = 'notes'")).first().asDict()
+
+
+def test_every_prefix_of_ddl_is_replayed(spark):
+    """Cut short anywhere, a statement leaves a note or does what it says; no project fails another."""
+    texts = ["ALTER TABLE t ADD COLUMN b INT NOT NULL , DROP COLUMN a , RENAME COLUMN id TO z , CHANGE a b INT", "CREATE UNIQUE INDEX k2 ON d . t ( a , b )", "CREATE TABLE u LIKE t", "ALTER TABLE t ADD CONSTRAINT f FOREIGN KEY ( a ) REFERENCES s . u ( id )", "DROP TABLE IF EXISTS t , u", "USE DATABASE d", "DROP DATABASE IF EXISTS d", "ALTER TABLE t RENAME TO e . z", "CREATE TABLE q ( a INT , PRIMARY KEY ( a ) )"]
+    cut = [" ".join(t.split(" ")[: k + 1]) for t in texts for k in range(len(t.split(" ")))]
+    rows = [(i, str(i), 0, "mariadb", None, BASE + c + "; CREATE TABLE last (a INT)") for i, c in enumerate(cut)]
+    got = catalog_columns(build_catalog(spark.createDataFrame(rows, DOCS))).where("table_key = 'last'")
+    assert got.count() == len(cut)
+
+
+def test_catalog_written_and_read(spark, entries, tmp_path):
+    path = str(tmp_path / "catalog")
+    write_catalog(entries, path)
+    back = read_catalog(spark, path)
+    assert sorted(map(str, back.collect())) == sorted(map(str, entries.collect()))
+    docs = spark.createDataFrame([(1, "mysql", None, "SELECT z.q, z.b FROM z")], "doc_id long, dialect string, target string, text string")
+    assert [(r["rule"], r["col"]) for r in findings(docs, catalog=known_columns(back.where("project_id = 'cursor'"))).collect()] == [("QL0900", 10)]
+    assert note_texts(back).where("text is null").count() == 0
+    back.withColumn("version", F.lit(2)).write.mode("append").partitionBy("version").parquet(path)
+    with pytest.raises(ValueError):
+        read_catalog(spark, path)

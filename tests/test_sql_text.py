@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from querylens.functions.codepages import decoded, encoded, encoding_name
 from querylens.operators import report
 from querylens.operators.lint import diagnostics, findings
-from querylens.operators.tokens import located, pieces, raw_reason, statements
+from querylens.operators.tokens import MARK, pieces, raw_reason, running, statements
 from querylens.operators.translate import translate, warnings
 from querylens.plans.corpus import TEMPLATES
 from querylens.plans.dialects import dialect_name
@@ -50,6 +50,40 @@ def test_places(spark):
     assert lint(spark, "SELECT id,\n  * FROM users") == [("QL0500", 2, 3)]
 
 
+GOLDEN = [
+    ("SELECT * FROM users", "QL0500", 1, 8), ("SELECT id FROM t1, t2 WHERE t1.x = t2.y", "QL0300", 1, 1), ("SELECT a FROM t1 NATURAL JOIN t2", "QL0302", 1, 1), ("SELECT a FROM t1 INNER JOIN t2", "QL0303", 1, 1),
+    ("SELECT a FROM t1 INNER JOIN t2 ON 1 = 1", "QL0304", 1, 1), ("SELECT a FROM t1 FULL OUTER JOIN t2 ON t1.id = t2.id", "QL0306", 1, 1), ("SELECT a FROM t WHERE b = NULL", "QL0600", 1, 23), ("UPDATE users SET name = 'x'", "QL0601", 1, 8), ("DELETE FROM users", "QL0602", 1, 13),
+]
+
+
+def test_golden_places(spark):
+    docs = spark.createDataFrame([(i, "mysql", None, text) for i, (text, *_) in enumerate(GOLDEN)] + [(99, "mysql", None, "SELECT id, name FROM users"), (100, "mysql", None, "SELECT 1;\n SELECT 'é\n', /* x */ *\nFROM t; SELECT *")], DOCS)
+    got = sorted((r["doc_id"], r["rule"], r["line"], r["col"]) for r in findings(docs).collect())
+    assert got == [(i, *want) for i, (_, *want) in enumerate(GOLDEN)] + [(100, "QL0500", 3, 12), (100, "QL0500", 4, 16)]
+
+
+def test_statements_that_no_rule_knows(spark):
+    docs = spark.createDataFrame([(1, "mysql", None, "SELECT a FROM FROM t"), (2, "mysql", None, "SELECT 1 )("), (3, "mysql", None, "FROB x; SELECT 1"), (4, "postgres", None, "CREATE FUNCTION f() BEGIN IF a THEN SELECT CASE WHEN b THEN 1 END; END IF; END; SELECT 2"), (5, "mysql", None, "BEGIN; SELECT 1; END")], DOCS)
+    got = {}
+    for r in statements(docs).collect():
+        got.setdefault((r["doc_id"], r["status"]), []).append(r["kind"])
+    assert got == {(1, "parse_error"): ["SELECT"], (2, "parse_error"): ["SELECT"], (3, "ok"): ["UNKNOWN", "SELECT"], (4, "ok"): ["CREATE", "SELECT"], (5, "ok"): ["BEGIN", "SELECT", "END"]}
+
+
+def test_running_sums(spark):
+    row = spark.range(1).select(running(F.sequence(F.lit(1), F.lit(2500))).alias("s"), running(F.array().cast("array<int>")).alias("e")).first()
+    assert row["s"] == [k * (k + 1) // 2 for k in range(2500)] and row["e"] == []
+
+
+def test_equal_names_in_many_documents(spark):
+    """Each document's own tables count, not those of the same name elsewhere; the catalog's are for all."""
+    docs = spark.createDataFrame([(i, "generic", None, f"CREATE TABLE t (c{i} INT NOT NULL); SELECT x.c1, COUNT(x.c{i}) FROM t x") for i in range(4)], DOCS)
+    assert sorted((r["doc_id"], r["rule"]) for r in findings(docs).collect()) == [(0, "QL0505"), (0, "QL0900"), (1, "QL0505"), (2, "QL0505"), (2, "QL0900"), (3, "QL0505"), (3, "QL0900")]
+    catalog = spark.createDataFrame([("v", "a", False), ("v", "b", True)], "table_key string, column_key string, nullable boolean")
+    used = spark.createDataFrame([(1, "generic", None, "SELECT v.q FROM v"), (2, "generic", None, "SELECT COUNT(v.a), COUNT(v.b) FROM v")], DOCS)
+    assert sorted((r["doc_id"], r["rule"], r["col"]) for r in findings(used, catalog=catalog).collect()) == [(1, "QL0900", 10), (2, "QL0505", 20)]
+
+
 def test_catalog_silences_not_in(spark):
     catalog = spark.createDataFrame([("u", "b", False)], "table_key string, column_key string, nullable boolean")
     assert lint(spark, "SELECT a FROM t WHERE a NOT IN (SELECT b FROM u)", catalog=catalog) == []
@@ -77,7 +111,7 @@ def test_statements_and_lines(spark):
 
 def test_conditional_comments_of_mariadb(spark):
     docs = spark.createDataFrame([(1, "mariadb", None, "SELECT /*!50000 a, */ b /* c */")], DOCS)
-    assert [r["tok"] for r in located(docs).where("kind <> 'comment'").orderBy("pos").collect()] == ["SELECT", "a", ",", "b"]
+    assert statements(docs).first()["shape"].split(MARK) == ["SELECT", "a", ",", "b"]
 
 
 def test_a_broken_document_is_alone(spark):
@@ -97,6 +131,12 @@ def test_raw_reasons(spark):
     assert rows.where(raw_reason(F.col("sql")) != F.col("want")).count() == 0
 
 
+def test_explanations():
+    assert report.explain("select-star").startswith("QL0500 select-star\ncategory: perf\n")
+    with pytest.raises(ValueError):
+        report.explain("nothing")
+
+
 def test_rule_selection():
     assert resolve("500") == resolve("0500") == resolve("select-star") == "QL0500"
     assert "QL0501" in selected(enable=["501"], disable=["501"]) and "QL0500" not in selected(disable=["select-star"])
