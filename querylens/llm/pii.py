@@ -5,19 +5,22 @@ digits after a plus). A match that fails its check is dropped and not tried agai
 
 Added kinds: iban (country letters, check digits, mod-97 equal to 1; of the country's length, or, for a
 country that isn't listed, of the greatest length that ends at a word's end and passes), ssn (three, two, four digits in
-ranges that are issued) and national (a telephone number without plus). Each has a score from its
+ranges that are issued), national (a telephone number without plus), key (a service's key by its
+published prefix) and secret (a long run of letters and digits assigned to a word such as token). Each has a score from its
 check, raised by words that speak for its kind within ``CONTEXT`` characters before it and lowered by
 words that speak against; at ``THRESHOLD`` or more the span is added, unless it overlaps a base span.
 
 Every search is linear in the text: matches begin only where their first run does. Null texts count
 as empty and have no spans. Repeated rows get the same result each; empty tables give empty results;
-other columns are ignored.
+other columns, whatever their names, are ignored. Very long texts are searched whole.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,15 +48,21 @@ IBAN_LENGTH = {
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 NATIONAL = re.compile(r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])")
 
+#: Keys of services by their published prefixes, and runs of 20 characters or more that only a word nearby makes a secret.
+KEY = re.compile(r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abps]-[A-Za-z0-9-]{10,}|-----BEGIN [A-Z ]*PRIVATE KEY-----)(?![A-Za-z0-9_])")
+SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}")
+
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("iban", "ssn", "national")
+ADDED_KINDS = ("iban", "ssn", "national", "key", "secret")
 CONTEXT = 40
 THRESHOLD = 0.5
 #: Each added kind's score without context, and words for and against it.
-SCORES = {"iban": 0.9, "ssn": 0.4, "national": 0.4}
+SCORES = {"iban": 0.9, "ssn": 0.4, "national": 0.4, "key": 0.9, "secret": 0.4}
 FOR = {
     "iban": re.compile(r"\b(?:iban|account|bank|konto|compte|cuenta)\b", re.I),
     "ssn": re.compile(r"\b(?:ssn|social security|taxpayer|tax id)\b", re.I),
+    "key": re.compile(r"\b(?:key|token|secret)\b", re.I),
+    "secret": re.compile(r"(?:\b|_)(?:token|secret|passw(?:or)?d|api[_ -]?key|access[_ -]?key|credential)s?[\x22']?\s*[:=]\s*[\x22']?\Z", re.I),
     "national": re.compile(r"\b(?:phone|tel|telephone|call|mobile|cell|fax|telefon|téléphone|teléfono)\b", re.I),
 }
 AGAINST = re.compile(r"\b(?:order|invoice|version|isbn|part|serial|item)\b", re.I)
@@ -132,13 +141,22 @@ def added_spans(text: str, base: list[Span]) -> list[tuple[str, int, int, float]
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":
             proposed.append(("ssn", m.start(), m.end()))
     proposed += [("national", m.start(), m.end()) for m in NATIONAL.finditer(text)]
+    proposed += [("key", m.start(), m.end()) for m in KEY.finditer(text)]
+    # A secret mixes letters and digits.
+    proposed += [("secret", m.start(), m.end()) for m in SECRET.finditer(text) if len(_digits(m[0])) >= 3 and sum(c.isalpha() for c in m[0]) >= 3]
     scored = [(k, a, b, _score(k, text, a)) for k, a, b in proposed]
     kept: list[tuple[str, int, int, float]] = []
-    taken = sorted((a, b) for _, a, b in base)
+    # Added spans don't overlap each other: of those kept, only the neighbours of a place can. Base ones of several kinds may.
+    bases = sorted((a, b) for _, a, b in base)
+    furthest = [*accumulate((b for _, b in bases), max)]
+    taken: list[tuple[int, int]] = []
     for k, a, b, s in sorted(scored, key=lambda x: (-x[3], x[1])):
-        if s >= THRESHOLD and not any(a < y and x < b for x, y in taken):
+        before, at = bisect_left(bases, (b,)), bisect_left(taken, (a,))
+        in_base = before > 0 and furthest[before - 1] > a
+        in_taken = (at > 0 and taken[at - 1][1] > a) or (at < len(taken) and taken[at][0] < b)
+        if s >= THRESHOLD and not in_base and not in_taken:
             kept.append((k, a, b, s))
-            taken.append((a, b))
+            taken.insert(at, (a, b))
     return sorted(kept, key=lambda x: (ADDED_KINDS.index(x[0]), x[1]))
 
 
@@ -164,7 +182,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of what :func:`find_pii` returns."""
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans`` of what :func:`find_pii` returns."""
 
     def listed(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -174,4 +192,4 @@ def digests(found: DataFrame) -> DataFrame:
 
     base = F.filter("spans", lambda s: s["base"])
     counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
