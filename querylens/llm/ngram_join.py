@@ -14,19 +14,26 @@ digest. Regions form around pivots, which are points themselves:
     the distance from below; they are a sixteenth of the sets. Where the bound allows a link to the pivot, the
     distance is found exactly, from the whole sets. Links to pivots give components; a region all of
     whose points are in one component is done.
-3.  Other regions are cut into windows. Sizes are distances from the empty set in the metric of symmetric
-    differences; by the triangle inequality only points of one size band, or of neighbouring bands, can be
-    linked, so each band is replicated to its neighbours'. Bands too large for a task are dealt into blocks,
-    and each two blocks meet once. Points whose signatures allow a link to another component stay.
-4.  What stays is joined within its window, in one loop: a point serves as the next pivot, is held against
-    those of other components that no earlier pivot's window rules out, and leaves.
+3.  Other regions are joined recursively. One of more than ``BLOCK`` points is split by pivots of its own:
+    a point belongs to the Voronoi cell of its nearest pivot, or to what is left over if none is within
+    ``RADIUS``. By the triangle inequality a point x of one cell can only be linked to a point of the
+    cell of pivot p if d(x, p) exceeds neither d(x, its own pivot) by more than twice the links' distance
+    nor RADIUS by more than once: where that holds, x is replicated to p's cell as a guest, in one
+    direction, so that each pair of points meets once. Guests of one split aren't held against each
+    other. Cells that are still too large are split again, in Spark rounds; before the first, sizes do the
+    same, as distances from the empty set. What no pivot can split after ``ROUNDS`` rounds is dealt into
+    blocks, and each two blocks meet once: nothing is left out.
+4.  Points whose signatures allow a link to another component stay, and each cell of those is joined in
+    one loop: a point serves as the next pivot, is held against those of other components that no earlier
+    pivot's window rules out, and leaves.
 
 Every link between two components is found, or a path in its place: the components are exact. All links,
 also those within a component, are what :func:`jaccard_links` and :func:`link_counts` give.
 
-Null and empty texts have no shingles and are linked with nothing. Repeated rows get the same result
-each; a null doc_id is never a component's smallest. Empty tables give empty results; other columns
-are ignored, or kept by :func:`drop_near_copies`.
+Null and empty texts have no shingles and are linked with nothing. Very long texts are shingled whole, a few
+at a time. Repeated rows get the same result each; a null doc_id is never a component's smallest. Empty
+tables give empty results; other columns, whatever their names, are ignored, or kept by
+:func:`drop_near_copies`.
 """
 
 from __future__ import annotations
@@ -45,10 +52,14 @@ from .components import components
 
 SHINGLE = 5
 PERCENT = 75
-#: The count sketch: 2 ** BITS counters, summed over all documents in CHUNKS parts.
-BITS, CHUNKS = 21, 32
-#: The most points that one task of a region takes from each of two blocks.
+#: Sketches and filters have 2 ** bits counters, by the number of what they hold; they are summed in CHUNKS parts.
+LEAST_BITS, MOST_BITS, CHUNKS = 21, 24, 32
+#: The most points of a cell that is joined as it is.
 BLOCK = 1000
+#: How many pivots a cell is split by (a few more or less), within which distance they hold points, and how often it is split.
+PIVOTS, RADIUS, ROUNDS = 16, 0.5, 5
+#: Distances of links, with a margin for rounding.
+NEAR = 1 - PERCENT / 100 + 1e-9
 #: Rows that carry whole shingle sets go to Python in batches of so many.
 SET_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
 
@@ -112,15 +123,20 @@ def may_link(n_x, n_y, common):
     return 100 * common >= PERCENT * (n_x + n_y - common)
 
 
-def _slots(values: np.ndarray) -> np.ndarray:
-    return (values & np.uint64((1 << BITS) - 1)).astype(np.int64)
+def bits_for(n: int) -> int:
+    """For a sketch or filter of n things: about 16 counters for each, within bounds; a fuller one costs time, never results."""
+    return min(max((16 * n).bit_length(), LEAST_BITS), MOST_BITS)
+
+
+def _slots(values: np.ndarray, bits: int) -> np.ndarray:
+    return (values & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 def _chunk_rows(counts: np.ndarray) -> list[tuple[int, bytes]]:
     return [(i, zlib.compress(c.astype("<u4").tobytes(), 1)) for i, c in enumerate(np.split(counts, CHUNKS)) if c.any()]
 
 
-def _summed(chunks: DataFrame) -> np.ndarray:
+def _summed(chunks: DataFrame, bits: int) -> np.ndarray:
     """The sum of all tasks' counters, from ``chunk, counts`` rows; CHUNKS rows reach the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,25 +148,28 @@ def _summed(chunks: DataFrame) -> np.ndarray:
         for chunk, counts in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.minimum(counts, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())], ["chunk", "counts"])
 
-    total = np.zeros((CHUNKS, (1 << BITS) // CHUNKS), np.int64)
+    total = np.zeros((CHUNKS, (1 << bits) // CHUNKS), np.int64)
     for r in chunks.repartition(CHUNKS, "chunk").mapInArrow(add, "chunk int, counts binary").toLocalIterator():
         total[r["chunk"]] += np.frombuffer(r["counts"], dtype="<u4")
     return total.reshape(-1)
 
 
 def _points(docs: DataFrame, seed: int) -> tuple[DataFrame, np.ndarray]:
-    """``doc_id, n_shingles, d1, d2, sig`` of each row, and the sketch of how many rows have each shingle."""
+    """``doc_id, n_shingles, d1, d2, sig`` of each row, and the sketch of how many points have each shingle (copies count once a task)."""
+    bits = bits_for(docs.count() // 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_shingles", "d1", "d2", "sig", "chunk", "counts"]
-        counts = np.zeros(1 << BITS, np.uint32)
+        counts = np.zeros(1 << bits, np.uint32)
+        seen: set[int] = set()
         for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             for a, b in pieces(texts):
                 sets = shingle_sets(texts[a:b], seed=seed)
-                slots, times = np.unique(_slots(np.concatenate(sets)), return_counts=True)
-                counts[slots] += times.astype(np.uint32)
                 d1, d2 = digest(sets)
+                new = _unseen(d1, seen)
+                slots, times = np.unique(_slots(np.concatenate([sets[i] for i in new] or [np.zeros(0, np.uint64)]), bits), return_counts=True)
+                counts[slots] += times.astype(np.uint32)
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(d1), pa.array(d2), pa.array([signature(x).tobytes() for x in sets], pa.binary()), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], names)
         if rows := _chunk_rows(counts):
@@ -159,61 +178,77 @@ def _points(docs: DataFrame, seed: int) -> tuple[DataFrame, np.ndarray]:
 
     rows = docs.select("doc_id", text_or_empty().cast("binary").alias("text"))
     got = stored(rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary, chunk int, counts binary"), "points")
-    return got.where("chunk is null").select("doc_id", "n_shingles", "d1", "d2", "sig"), _summed(got.where("chunk is not null").select("chunk", "counts"))
+    return got.where("chunk is null").select("doc_id", "n_shingles", "d1", "d2", "sig"), _summed(got.where("chunk is not null").select("chunk", "counts"), bits)
+
+
+def _unseen(names: np.ndarray, seen: set[int]) -> list[int]:
+    """The places of names that this task hasn't met; they are added to ``seen``."""
+    new = []
+    for i, name in enumerate(names.tolist()):
+        if name not in seen:
+            seen.add(name)
+            new.append(i)
+    return new
 
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray, seed: int) -> DataFrame:
-    """``d1, key`` for each row's prefix shingles."""
+    """``d1, key`` for each point's prefix shingles, once a task however many copies it has."""
+    bits = len(sketch).bit_length() - 1
     rarity = np.minimum(np.floor(8 * np.log2(sketch + 1.0)), 255).astype(np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(rarity)  # 2 ** BITS bytes
+    shared = docs.sparkSession.sparkContext.broadcast(rarity)  # 2 ** bits bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = shared.value
+        rare, seen = shared.value, set()
         for batch in slices(batches):
             texts = batch.column(0).to_pylist()
             for a, b in pieces(texts):
                 sets = shingle_sets(texts[a:b], seed=seed)
                 d1, _ = digest(sets)
-                keys, sizes = [], []
-                for s in sets:
+                new = _unseen(d1, seen)
+                keys, sizes = [np.zeros(0, np.uint64)], []
+                for s in (sets[i] for i in new):
                     k = len(s) + (len(s) * PERCENT // -100) + 1 if len(s) else 0  # n - ceil(t n) + 1
-                    order = rare[_slots(s)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8)
+                    order = rare[_slots(s, bits)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8)
                     keys.append(s[np.argsort(order, kind="stable")[:k]])
                     sizes.append(k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(d1, sizes)), pa.array(np.concatenate(keys).view(np.int64))], ["d1", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(d1[new], np.array(sizes, dtype=np.int64))), pa.array(np.concatenate(keys).view(np.int64))], ["d1", "key"])
 
     return docs.select(text_or_empty().cast("binary").alias("text")).mapInArrow(run, "d1 long, key long")
 
 
-def _members(ids: DataFrame) -> np.ndarray:
-    """A filter of fixed size for a column of ids: false positives only."""
+def _members(ids: DataFrame, n: int) -> np.ndarray:
+    """A filter for a column of n ids: false positives only."""
+    bits = bits_for(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BITS, np.int64)
+        counts = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            counts[_slots(mix64(batch.column(0).drop_null().to_numpy(zero_copy_only=False).view(np.uint64)))] = 1
+            counts[_slots(mix64(batch.column(0).drop_null().to_numpy(zero_copy_only=False).view(np.uint64)), bits)] = 1
         if rows := _chunk_rows(counts):
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["chunk", "counts"])
 
-    return _summed(ids.mapInArrow(run, "chunk int, counts binary")) > 0
+    return _summed(ids.mapInArrow(run, "chunk int, counts binary"), bits) > 0
 
 
 def _sets(docs: DataFrame, points: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
     """``d1, n, shingles`` (binary) of the points named in ``wanted``, once each, from the texts again."""
-    first = points.join(wanted, "d1", "left_semi").groupBy("d1").agg(F.min("doc_id").alias("doc_id"))
-    shared = docs.sparkSession.sparkContext.broadcast(_members(first.select("doc_id")))
+    # Copies collapse before the join, so that a text of many copies is one row in it.
+    first = stored(points.groupBy("d1").agg(F.min("doc_id").alias("doc_id")).join(wanted, "d1", "left_semi"), "first")
+    shared = docs.sparkSession.sparkContext.broadcast(_members(first.select("doc_id"), first.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        member = shared.value
+        member, seen = shared.value, set()
+        bits = len(member).bit_length() - 1
         for batch in slices(batches):
             names = batch.column(0).to_pylist()
-            slots = _slots(mix64(np.array([n or 0 for n in names], dtype=np.int64).view(np.uint64)))
+            slots = _slots(mix64(np.array([n or 0 for n in names], dtype=np.int64).view(np.uint64)), bits)
             picked = [i for i, (n, s) in enumerate(zip(names, slots.tolist(), strict=True)) if n is None or member[s]]
             texts = batch.column(1).take(pa.array(picked, pa.int64())).to_pylist()
             for a, b in pieces(texts):
                 sets = shingle_sets(texts[a:b], seed=seed)
                 d1, _ = digest(sets)
-                yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["d1", "n", "shingles"])
+                new = _unseen(d1, seen)
+                yield pa.RecordBatch.from_arrays([pa.array(d1[new]), pa.array([len(sets[i]) for i in new], pa.int64()), pa.array([sets[i].tobytes() for i in new], pa.binary())], ["d1", "n", "shingles"])
 
     rows = docs.select("doc_id", text_or_empty().cast("binary").alias("text"))
     return rows.mapInArrow(run, "d1 long, n long, shingles binary").join(wanted, "d1", "left_semi").dropDuplicates(["d1"])
@@ -257,31 +292,28 @@ def _find(parent: dict, a: int) -> int:
     return a
 
 
-def links_within(ids: np.ndarray, sets: list[np.ndarray], component: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join components, between points of side 0 and side 1 (or all points, if there is no side 1).
+def links_within(ids: np.ndarray, sets: list[np.ndarray], component: np.ndarray, mask: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join components, between points whose masks have no bit in common.
 
     Each point in turn is the pivot, held against the later ones that are still in other components and that
     no window rules out: that of sizes, and those of the first few pivots.
     """
-    width = 1 - PERCENT / 100 + 1e-9
     values, flat = np.unique(np.concatenate(sets), return_inverse=True)
     bounds = ends([len(s) for s in sets])
     size = np.diff(bounds)
     parent: dict[int, int] = {}
     here = np.zeros(len(values), dtype=bool)
     windows: list[np.ndarray] = []
-    one_side = not (side == 1).any()
     found = []
     for q in range(len(sets) - 1):
         later = np.arange(q + 1, len(sets))
-        if not one_side:
-            later = later[side[later] != side[q]]
+        later = later[(mask[later] & mask[q]) == 0]
         root = np.array([_find(parent, int(c)) for c in component[later]])
         later = later[root != _find(parent, int(component[q]))]
         later = later[(100 * size[later] >= PERCENT * size[q]) & (100 * size[q] >= PERCENT * size[later])]
         for d in windows:
             # Distances that weren't taken are NaN and rule nothing out.
-            later = later[~(np.abs(d[later] - d[q]) > width)]
+            later = later[~(np.abs(d[later] - d[q]) > NEAR)]
         if not len(later):
             continue
         here[flat[bounds[q] : bounds[q + 1]]] = True
@@ -301,13 +333,12 @@ def links_within(ids: np.ndarray, sets: list[np.ndarray], component: np.ndarray,
     return found
 
 
-def with_partners(size: np.ndarray, sigs: list[np.ndarray], component: np.ndarray, side: np.ndarray, meet=None) -> np.ndarray:
-    """Of each point, whether its signature allows a link to one of another component (and of the other side, if there are two).
+def with_partners(size: np.ndarray, sigs: list[np.ndarray], component: np.ndarray, mask: np.ndarray, meet=None) -> np.ndarray:
+    """Of each point, whether its signature allows a link to one of another component whose mask has no bit in common.
 
     ``meet``, from :func:`meeting`, leaves out pairs that meet in another region.
     """
     out = np.zeros(len(sigs), dtype=bool)
-    one_side = not (side == 1).any()
     width = np.array([len(s) for s in sigs])
     for level in np.unique(width):
         # Linked sets differ by less than a factor of two: they have as many buckets, or one has twice as many.
@@ -318,8 +349,7 @@ def with_partners(size: np.ndarray, sigs: list[np.ndarray], component: np.ndarra
                 continue
             # Pairs of equal width once; a wider one when this, the narrower, has its turn.
             other = (component[rows] != component[q]) & ((rows > q) | (width[rows] != level)) & (100 * np.minimum(size[rows], size[q]) >= PERCENT * np.maximum(size[rows], size[q]))
-            if not one_side:
-                other &= side[rows] != side[q]
+            other &= (mask[rows] & mask[q]) == 0
             at = np.flatnonzero(other)
             if meet and len(at):
                 at = at[meet(q, rows[at])]
@@ -353,19 +383,15 @@ def meeting(lesser: Sequence[Sequence[int]]):
     return meet
 
 
-def all_within(sets: list[np.ndarray], side: np.ndarray, one_side: bool, meet) -> Iterator[tuple[int, np.ndarray]]:
-    """``q, linked``: all links between points of side 0 and side 1 (or all points, if the window is of one cell), each once, by place in the window.
-
-    A window of two cells one of which is empty has no links: its points meet in their own cell's window.
-    """
+def all_within(sets: list[np.ndarray], mask: np.ndarray, meet) -> Iterator[tuple[int, np.ndarray]]:
+    """``q, linked``: all links between points whose masks have no bit in common, each once, by place in the cell."""
     values, flat = np.unique(np.concatenate(sets), return_inverse=True)
     bounds = ends([len(s) for s in sets])
     size = np.diff(bounds)
     here = np.zeros(len(values), dtype=bool)
     for q in range(len(sets) - 1):
         later = np.arange(q + 1, len(sets))
-        if not one_side:
-            later = later[side[later] != side[q]]
+        later = later[(mask[later] & mask[q]) == 0]
         later = later[(100 * size[later] >= PERCENT * size[q]) & (100 * size[q] >= PERCENT * size[later])]
         later = later[meet(q, later)]
         if not len(later):
@@ -380,27 +406,28 @@ def all_within(sets: list[np.ndarray], side: np.ndarray, one_side: bool, meet) -
             yield q, linked
 
 
-#: The columns that name a window.
-WINDOW = ("p", "first_band", "first_block", "second_band", "second_block")
+#: What a point is in a cell: the cell's name, the region, the point, its size and component, and its mask.
+CELL = "cell string, p long, x long, n long, root long, mask long"
+CELL_NAMES = [c.split(" ")[0] for c in CELL.split(", ")]
 
 
-def _by_window(rows: DataFrame, content: str, work, schema: str) -> DataFrame:
-    """``work(x, n, root, side, contents)`` of each window gives rows of pairs of ids; windows stream through the tasks in order.
+def _by_cell(rows: DataFrame, content: str, work, schema: str) -> DataFrame:
+    """``work(cell, p, x, n, root, mask, contents)`` of each cell gives rows; cells stream through the tasks in order.
 
-    Most windows hold a few points: they are cut from whole Arrow batches, without a frame of their own each.
+    Most cells hold a few points: they are cut from whole Arrow batches, without a frame of their own each.
     """
     names = [c.split(" ")[0] for c in schema.split(", ")]
+    kinds = [pa.string() if c.endswith("string") else pa.int64() for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def results(table: pa.Table, whole: bool):
-            columns = [table.column(i).to_numpy() for i in range(9)]
-            contents = table.column(9).to_pylist()
-            p, side, x, n, root = columns[0], *columns[5:]
-            starts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:5]], axis=0)) + 1).tolist(), len(p)]
+            columns = [table.column(i).to_numpy() for i in range(6)]
+            contents = table.column(6).to_pylist()
+            cell, p, x, n, root, mask = columns
+            starts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(p)]
             last = len(starts) - (1 if whole else 2)
-            found = [work(p[a], x[a:b], n[a:b], root[a:b], side[a:b], contents[a:b]) for a, b in zip(starts[:last], starts[1 : last + 1], strict=True)]
-            pairs = [r for f in found for r in f]
-            made = pa.RecordBatch.from_arrays([pa.array([r[k] for r in pairs], pa.int64()) for k in (0, 1)], names)
+            found = [r for a, b in zip(starts[:last], starts[1 : last + 1], strict=True) for r in work(cell[a], p[a], x[a:b], n[a:b], root[a:b], mask[a:b], contents[a:b])]
+            made = pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], names)
             return made, table.slice(starts[last]) if not whole else None
 
         held = None
@@ -412,52 +439,120 @@ def _by_window(rows: DataFrame, content: str, work, schema: str) -> DataFrame:
         if held is not None:
             yield results(held, True)[0]
 
-    dealt = rows.select(*WINDOW, "side", "x", "n", "root", content)
-    return dealt.repartition(*WINDOW).sortWithinPartitions(*WINDOW, "side", "x").mapInArrow(run, schema)
+    return rows.select(*CELL_NAMES, content).repartition("cell").sortWithinPartitions("cell", "x").mapInArrow(run, schema)
 
 
-def _windows(members: DataFrame) -> DataFrame:
-    """``p, x, n, root`` dealt to windows: ``WINDOW`` names a group, ``side`` the part of it that a point is of.
+class Pivots:
+    """The sets of a cell's pivots, and distances to all of them at once."""
 
-    A region of one block is one group. In others, cells (size band, block) of one or neighbouring bands meet in pairs.
-    """
-    size = members.groupBy("p").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    m = members.join(size, "p")
-    m = m.withColumns({"band": F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT)) + 1e-9).cast("int"), "block": F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")})
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.size = np.array([len(s) for s in sets], dtype=np.int64)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        self.values, self.owner = flat[order], np.repeat(np.arange(len(sets)), self.size)[order]
 
-    def cells(shift: int):
-        return F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct((F.col("band") + shift).cast("int").alias("band"), k.alias("block")))
+    def distances(self, s: np.ndarray) -> np.ndarray:
+        first, last = np.searchsorted(self.values, s, "left"), np.searchsorted(self.values, s, "right")
+        held = last > first
+        first, count = first[held], (last - first)[held]
+        at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        common = np.bincount(self.owner[at], minlength=len(self.size))
+        return 1 - common / (self.size + len(s) - common)
 
-    small = F.col("blocks") == 1
-    nowhere = F.struct(F.lit(0).alias("band"), F.lit(0).alias("block"))
-    m = m.withColumn("other", F.explode(F.when(small, F.array(nowhere)).otherwise(F.concat(cells(-1), cells(0), cells(1)))))
-    m = m.withColumn("own", F.when(small, nowhere).otherwise(F.struct("band", "block")))
-    m = m.withColumns({"first": F.least("own", "other"), "second": F.greatest("own", "other")})
-    side = (F.col("own") > F.col("other")).cast("long").alias("side")
-    return m.select("p", *(F.col(f"{e}.{c}").cast("long").alias(f"{e}_{c}") for e in ("first", "second") for c in ("band", "block")), side, "x", "n", "root")
+
+def cells_of(d: np.ndarray) -> tuple[int, list[int]]:
+    """The Voronoi cell of a point by its distances to the pivots, -1 if none is within RADIUS, and the later cells that it visits."""
+    home = int(d.argmin()) if len(d) and d.min() <= RADIUS else -1
+    reach = np.full(len(d), RADIUS + NEAR)
+    if home >= 0:
+        reach = np.minimum(reach, d[home] + 2 * NEAR)
+    visits = np.flatnonzero(d <= reach)
+    return home, visits[visits > home].tolist()
+
+
+def _split(big: DataFrame, sets: DataFrame, number: int) -> DataFrame:
+    """Cells too large (with ``n_cell``, their number of points) split by pivots drawn from them by hash; bit ``number`` marks guests."""
+    rows = big.join(sets.select(F.col("d1").alias("x"), "shingles"), "x")
+    parts = F.ceil(F.col("n_cell") / BLOCK).cast("int")
+    names = [c for c in CELL_NAMES if c != "cell"]
+    members = rows.select("cell", F.pmod(F.xxhash64("x"), parts).cast("int").alias("part"), F.lit(1).alias("member"), *names, "shingles")
+    pivots = rows.where(F.pmod(F.xxhash64("x", F.lit(number)), F.col("n_cell")) < PIVOTS)
+    pivots = pivots.select("cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("member"), *names, "shingles")
+    bit = 1 << number
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, pivots = None, [], None
+        for batch in batches:
+            out: list[tuple] = []
+            for cell, part, member, p, x, n, root, mask, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (cell, part) != here:
+                    here, held, pivots = (cell, part), [], None
+                own = np.frombuffer(shingles, np.uint64)
+                if not member:
+                    held.append(own)
+                    continue
+                pivots = pivots or Pivots(held)
+                home, visits = cells_of(pivots.distances(own))
+                out.append((f"{cell}/{number}.{home}", p, x, n, root, mask))
+                out += [(f"{cell}/{number}.{j}", p, x, n, root, mask | bit) for j in visits]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string() if k == 0 else pa.int64()) for k in range(6)], CELL_NAMES)
+
+    dealt = members.unionByName(pivots).select("cell", "part", "member", *names, "shingles")
+    return dealt.repartition("cell", "part").sortWithinPartitions("cell", "part", "member", "x").mapInArrow(run, CELL)
+
+
+def _cells(members: DataFrame, docs: DataFrame, points: DataFrame, seed: int, *, open_only: bool) -> DataFrame:
+    """The points ``p, x, n, root`` of regions dealt to cells of at most BLOCK points, in rows of ``CELL``.
+
+    open_only: whether cells whose points are all of one component can be left out.
+    """
+    cells = members.select(F.col("p").cast("string").alias("cell"), "p", "x", "n", "root", F.lit(0).cast("long").alias("mask"))
+    sets = None
+    for number in range(ROUNDS + 2):
+        sizes = cells.groupBy("cell").agg(F.count("*").alias("n_cell"), (F.min("root") != F.max("root")).alias("open"))
+        if open_only:
+            sizes = sizes.where("open")
+        sizes = stored(sizes.drop("open"), "cell-sizes")
+        sized = cells.join(sizes, "cell")
+        big, small = sized.where(F.col("n_cell") > BLOCK), sized.where(F.col("n_cell") <= BLOCK).drop("n_cell")
+        if sizes.where(F.col("n_cell") > BLOCK).isEmpty():
+            return small.select(*CELL_NAMES)
+        if number == 0:
+            # Sizes of linked points are in one band or in neighbouring ones: a band's points are guests of the one below.
+            band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT)) + 1e-9).cast("int")
+            ways = F.array(F.struct(band.alias("band"), F.col("mask").alias("mask")), F.struct((band - 1).alias("band"), F.col("mask").bitwiseOR(F.lit(1).cast("long")).alias("mask")))
+            parts = big.withColumn("way", F.explode(ways)).select(F.concat_ws("/", "cell", F.col("way.band").cast("string")).alias("cell"), "p", "x", "n", "root", F.col("way.mask").alias("mask"))
+        elif number <= ROUNDS:
+            sets = sets or stored(_sets(docs, points, big.select(F.col("x").alias("d1")).distinct(), seed), "sets")
+            parts = _split(big, sets, number)
+        else:
+            # What is still too large meets by pairs of blocks.
+            blocks = F.ceil(F.col("n_cell") / BLOCK).cast("int")
+            rows = big.withColumn("block", F.pmod(F.xxhash64("x"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            side = F.when(F.col("block") < F.col("other"), 1 << 40).when(F.col("block") > F.col("other"), 1 << 41).otherwise(0).cast("long")
+            parts = rows.select(F.concat_ws("/", "cell", F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string")).alias("cell"), "p", "x", "n", "root", F.col("mask").bitwiseOR(side).alias("mask"))
+            return small.select(*CELL_NAMES).unionByName(parts.select(*CELL_NAMES))
+        cells = stored(small.select(*CELL_NAMES).unionByName(parts.select(*CELL_NAMES)), "cells")
+    return cells
 
 
 def _region_links(pairs: DataFrame, roots: DataFrame, docs: DataFrame, points: DataFrame, signatures: DataFrame, seed: int) -> DataFrame:
     """``a, b``: links between components, from the regions that hold points of several."""
     named = signatures.select(F.col("d1").alias("x"), "n").join(roots.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
-    members = pairs.unionByName(pairs.select(F.col("p").alias("x"), "p").distinct()).join(named, "x")
-    several = members.groupBy("p").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("p")
-    members = stored(members.join(several, "p"), "members")
-    with_sig = _windows(members).join(signatures.select(F.col("d1").alias("x"), "sig"), "x")
+    members = stored(pairs.unionByName(pairs.select(F.col("p").alias("x"), "p").distinct()).join(named, "x"), "members")
+    cells = _cells(members, docs, points, seed, open_only=True)
 
-    def keep(p, x, n, root, side, sigs):
-        stay = with_partners(n, [np.frombuffer(s, "<u2") for s in sigs], root, side)
-        return [(p, i) for i in x[stay]]
+    def keep(cell, p, x, n, root, mask, sigs):
+        stay = with_partners(n, [np.frombuffer(s, "<u2") for s in sigs], root, mask)
+        return [(cell, p, *r) for r in zip(x[stay].tolist(), n[stay].tolist(), root[stay].tolist(), mask[stay].tolist(), strict=True)]
 
-    left = _by_window(with_sig, "sig", keep, "p long, x long").distinct()
-    left = stored(left, "left")
+    left = stored(_by_cell(cells.join(signatures.select(F.col("d1").alias("x"), "sig"), "x"), "sig", keep, CELL), "left")
     sets = stored(_sets(docs, points, left.select(F.col("x").alias("d1")).distinct(), seed), "sets")
-    with_sets = _windows(left.join(named, "x")).join(sets.select(F.col("d1").alias("x"), "shingles"), "x")
 
-    def join(p, x, n, root, side, sets):
-        return links_within(x, [np.frombuffer(s, np.uint64) for s in sets], root, side)
+    def join(cell, p, x, n, root, mask, sets):
+        return links_within(x, [np.frombuffer(s, np.uint64) for s in sets], root, mask)
 
-    return _by_window(with_sets, "shingles", join, "a long, b long")
+    return _by_cell(left.join(sets.select(F.col("d1").alias("x"), "shingles"), "x"), "shingles", join, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, *, seed: int = 0) -> DataFrame:
@@ -472,7 +567,7 @@ def jaccard_components(docs: DataFrame, *, seed: int = 0) -> DataFrame:
         shared = prefixes.groupBy("key").agg(F.min("d1").alias("p"), F.max("d1").alias("most")).where("p <> most").select("key", "p")
         pairs = stored(prefixes.join(shared, "key").where("d1 <> p").select(F.col("d1").alias("x"), "p").distinct(), "pairs")
         wanted = pairs.select(F.col("x").alias("d1")).unionByName(pairs.select(F.col("p").alias("d1"))).distinct()
-        signatures = stored(points.select("d1", F.col("n_shingles").alias("n"), "sig").join(wanted, "d1", "left_semi").dropDuplicates(["d1"]), "signatures")
+        signatures = stored(points.where("n_shingles > 0").groupBy("d1").agg(F.first("n_shingles").alias("n"), F.first("sig").alias("sig")).join(wanted, "d1", "left_semi"), "signatures")
         near = stored(_near(pairs, signatures), "near")
         wanted = near.select(F.col("x").alias("d1")).unionByName(near.select(F.col("p").alias("d1"))).distinct()
         sets = stored(_sets(docs, points, wanted, seed), "sets")
@@ -506,25 +601,26 @@ def _all_links(docs: DataFrame, work, schema: str, seed: int = 0) -> tuple[DataF
     signatures = stored(signatures.withColumnRenamed("d1", "x").join(members.select("x").distinct(), "x", "left_semi"), "signatures")
     pivots = stored(pairs.groupBy("x").agg(F.collect_list("p").alias("pivots")), "pivots")
 
-    def dealt(rows: DataFrame, contents: DataFrame, name: str) -> DataFrame:
-        """The windows of ``p, x``, each point with its copies in the place of a root."""
-        at = _windows(rows.join(signatures.select("x", "n", "root"), "x")).join(contents, "x").join(pivots, "x", "left")
+    def with_content(cells: DataFrame, contents: DataFrame, name: str) -> DataFrame:
+        """Cells, each point with its content and its pivots below the region's own."""
+        at = cells.join(contents, "x").join(pivots, "x", "left")
         lesser = F.filter(F.coalesce("pivots", F.array().cast("array<long>")), lambda v: v < F.col("p"))
-        one_cell = (F.col("first_band") == F.col("second_band")) & (F.col("first_block") == F.col("second_block"))
-        return at.withColumn("content", F.struct(F.col(name).alias("own"), lesser.alias("lesser"), one_cell.alias("one_cell")))
+        return at.withColumn("content", F.struct(F.col(name).alias("own"), lesser.alias("lesser")))
+
+    # Each point with its copies in the place of a root.
+    cells = _cells(members.join(signatures.select("x", "n", "root"), "x"), docs, points, seed, open_only=False)
 
-    def keep(p, x, n, copies, side, contents):
-        stay = with_partners(n, [np.frombuffer(c["own"], "<u2") for c in contents], x, side, meeting([c["lesser"] for c in contents]))
-        return [(p, i) for i in x[stay]]
+    def keep(cell, p, x, n, copies, mask, contents):
+        stay = with_partners(n, [np.frombuffer(c["own"], "<u2") for c in contents], x, mask, meeting([c["lesser"] for c in contents]))
+        return [(cell, p, *r) for r in zip(x[stay].tolist(), n[stay].tolist(), copies[stay].tolist(), mask[stay].tolist(), strict=True)]
 
-    left = stored(_by_window(dealt(members, signatures.select("x", "sig"), "sig"), "content", keep, "p long, x long").distinct(), "left")
+    left = stored(_by_cell(with_content(cells, signatures.select("x", "sig"), "sig"), "content", keep, CELL), "left")
     sets = stored(_sets(docs, points, left.select(F.col("x").alias("d1")).distinct(), seed), "sets")
 
-    def join(p, x, n, copies, side, contents):
-        return work(x, copies, all_within([np.frombuffer(c["own"], np.uint64) for c in contents], side, contents[0]["one_cell"], meeting([c["lesser"] for c in contents])))
+    def join(cell, p, x, n, copies, mask, contents):
+        return work(x, copies, all_within([np.frombuffer(c["own"], np.uint64) for c in contents], mask, meeting([c["lesser"] for c in contents])))
 
-    windows = dealt(left, sets.select(F.col("d1").alias("x"), "shingles"), "shingles")
-    return stored(_by_window(windows, "content", join, schema), "all-links"), points
+    return stored(_by_cell(with_content(left, sets.select(F.col("d1").alias("x"), "shingles"), "shingles"), "content", join, schema), "all-links"), points
 
 
 def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -566,7 +662,8 @@ def link_counts(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest doc_id; the same columns.
 
-    A row is dropped by its doc_id, which is taken to name one text.
+    A row is dropped by its doc_id, which is taken to name one text; rows without one stay.
     """
     gone = stored(jaccard_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "near-copies")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    return rows.join(gone, F.col("row.doc_id") == F.col("gone_id"), "left_anti").select("row.*")
