@@ -1,4 +1,11 @@
-"""From raw documents to token ids, in stages. Each stage's result is written and is the next one's input."""
+"""From raw documents to token ids, in stages. Each stage's result is written and is the next one's input.
+
+Null texts count as empty in all stages: the classifier scores them by their structure, of several one stays
+in exact dedup, they are near copies of nothing, the mix takes none of them. Null doc_ids count as smallest
+in exact dedup and stay in the join. Very long texts go through whole. Repeated rows are exact copies.
+Ties are broken by doc_id and text. Empty tables give empty results, and columns of any further names come
+along to the last stage, which returns ids and digests.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +21,10 @@ from querylens.llm.common import stored, table, vocabulary
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine, fitted on ``labels``, scores at 0.5 or more."""
     model = quality_fm.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_fm.with_score(docs, model, "fm_score").where("fm_score >= 0.5").select(*docs.columns)
+    name = "score"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name = f"_{name}"
+    return quality_fm.with_score(docs, model, name).where(F.col(name) >= 0.5).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
