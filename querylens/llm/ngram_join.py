@@ -21,8 +21,9 @@ digest. Regions form around pivots, which are points themselves:
     nor RADIUS by more than once: where that holds, x is replicated to p's cell as a guest, in one
     direction, so that each pair of points meets once. Guests of one split aren't held against each
     other. Cells that are still too large are split again, in Spark rounds; before the first, sizes do the
-    same, as distances from the empty set. What no pivot can split after ``ROUNDS`` rounds is dealt into
-    blocks, and each two blocks meet once: nothing is left out.
+    same, as distances from the empty set. What no pivot can split, because its points are near to each
+    other, or what ``ROUNDS`` rounds leave too large is dealt into blocks, and each two blocks meet once:
+    nothing is left out.
 4.  Points whose signatures allow a link to another component stay, and each cell of those is joined in
     one loop: a point serves as the next pivot, is held against those of other components that no earlier
     pivot's window rules out, and leaves.
@@ -58,6 +59,8 @@ LEAST_BITS, MOST_BITS, CHUNKS = 21, 24, 32
 BLOCK = 1000
 #: How many pivots a cell is split by (a few more or less), within which distance they hold points, and how often it is split.
 PIVOTS, RADIUS, ROUNDS = 16, 0.5, 5
+#: Ends the name of a cell that pivots can't split: points that are near to each other, and yet of several components.
+DENSE = "/dense"
 #: Distances of links, with a margin for rounding.
 NEAR = 1 - PERCENT / 100 + 1e-9
 #: Rows that carry whole shingle sets go to Python in batches of so many.
@@ -451,6 +454,13 @@ class Pivots:
         order = np.argsort(flat, kind="stable")
         self.values, self.owner = flat[order], np.repeat(np.arange(len(sets)), self.size)[order]
 
+    @staticmethod
+    def tell_apart(sets: list[np.ndarray]) -> bool:
+        """Whether pivots drawn from a cell can split it: not if more than a quarter of their pairs are so near that their points visit each other."""
+        pivots = Pivots(sets)
+        near = sum(int((pivots.distances(s) <= RADIUS + NEAR).sum()) - 1 for s in sets)
+        return len(sets) > 1 and 4 * near <= len(sets) * (len(sets) - 1)
+
     def distances(self, s: np.ndarray) -> np.ndarray:
         first, last = np.searchsorted(self.values, s, "left"), np.searchsorted(self.values, s, "right")
         held = last > first
@@ -481,7 +491,7 @@ def _split(big: DataFrame, sets: DataFrame, number: int) -> DataFrame:
     bit = 1 << number
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, held, pivots = None, [], None
+        here, held, pivots, split = None, [], None, False
         for batch in batches:
             out: list[tuple] = []
             for cell, part, member, p, x, n, root, mask, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -491,7 +501,11 @@ def _split(big: DataFrame, sets: DataFrame, number: int) -> DataFrame:
                 if not member:
                     held.append(own)
                     continue
-                pivots = pivots or Pivots(held)
+                if pivots is None:
+                    pivots, split = Pivots(held), Pivots.tell_apart(held)
+                if not split:  # the same in all parts of the cell, as it depends on the pivots alone
+                    out.append((f"{cell}{DENSE}", p, x, n, root, mask))
+                    continue
                 home, visits = cells_of(pivots.distances(own))
                 out.append((f"{cell}/{number}.{home}", p, x, n, root, mask))
                 out += [(f"{cell}/{number}.{j}", p, x, n, root, mask | bit) for j in visits]
@@ -514,24 +528,27 @@ def _cells(members: DataFrame, docs: DataFrame, points: DataFrame, seed: int, *,
             sizes = sizes.where("open")
         sizes = stored(sizes.drop("open"), "cell-sizes")
         sized = cells.join(sizes, "cell")
-        big, small = sized.where(F.col("n_cell") > BLOCK), sized.where(F.col("n_cell") <= BLOCK).drop("n_cell")
-        if sizes.where(F.col("n_cell") > BLOCK).isEmpty():
-            return small.select(*CELL_NAMES)
+        wide, dense = F.col("n_cell") > BLOCK, F.col("cell").endswith(DENSE)
+        last = number > ROUNDS or sizes.where(wide & ~dense).isEmpty()
+        if last and sizes.where(wide).isEmpty():
+            return sized.select(*CELL_NAMES)
+        chosen = wide if last else wide & ~dense
+        big, small = sized.where(chosen), sized.where(~chosen)
+        if last:
+            # What is too large still meets by pairs of blocks.
+            blocks = F.ceil(F.col("n_cell") / BLOCK).cast("int")
+            rows = big.withColumn("block", F.pmod(F.xxhash64("x"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            side = F.when(F.col("block") < F.col("other"), 1 << 40).when(F.col("block") > F.col("other"), 1 << 41).otherwise(0).cast("long")
+            parts = rows.select(F.concat_ws("/", "cell", F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string")).alias("cell"), "p", "x", "n", "root", F.col("mask").bitwiseOR(side).alias("mask"))
+            return small.select(*CELL_NAMES).unionByName(parts.select(*CELL_NAMES))
         if number == 0:
             # Sizes of linked points are in one band or in neighbouring ones: a band's points are guests of the one below.
             band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT)) + 1e-9).cast("int")
             ways = F.array(F.struct(band.alias("band"), F.col("mask").alias("mask")), F.struct((band - 1).alias("band"), F.col("mask").bitwiseOR(F.lit(1).cast("long")).alias("mask")))
             parts = big.withColumn("way", F.explode(ways)).select(F.concat_ws("/", "cell", F.col("way.band").cast("string")).alias("cell"), "p", "x", "n", "root", F.col("way.mask").alias("mask"))
-        elif number <= ROUNDS:
+        else:
             sets = sets or stored(_sets(docs, points, big.select(F.col("x").alias("d1")).distinct(), seed), "sets")
             parts = _split(big, sets, number)
-        else:
-            # What is still too large meets by pairs of blocks.
-            blocks = F.ceil(F.col("n_cell") / BLOCK).cast("int")
-            rows = big.withColumn("block", F.pmod(F.xxhash64("x"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            side = F.when(F.col("block") < F.col("other"), 1 << 40).when(F.col("block") > F.col("other"), 1 << 41).otherwise(0).cast("long")
-            parts = rows.select(F.concat_ws("/", "cell", F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string")).alias("cell"), "p", "x", "n", "root", F.col("mask").bitwiseOR(side).alias("mask"))
-            return small.select(*CELL_NAMES).unionByName(parts.select(*CELL_NAMES))
         cells = stored(small.select(*CELL_NAMES).unionByName(parts.select(*CELL_NAMES)), "cells")
     return cells
 

@@ -349,3 +349,35 @@ def test_folds_are_checksums(spark):
 
     got = spark.range(50).select(F.col("id").alias("doc_id"), fold().alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["doc_id"]).encode()) % 3 for r in got)
+
+
+def test_voronoi_cells_lose_no_link_and_meet_once():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 1 << 62, rng.integers(20, 200))
+        for _ in range(8):
+            s = base.copy()
+            k = rng.integers(0, len(s) // 2)
+            s[rng.choice(len(s), k, replace=False)] = rng.integers(0, 1 << 62, k)
+            sets.append(np.unique(s.astype(np.uint64)))
+    drawn = [sets[i] for i in rng.choice(len(sets), 12, replace=False)]
+    pivots = ngram_join.Pivots(drawn)
+    d = np.array([pivots.distances(s) for s in sets])
+    jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    assert np.allclose(d, [[1 - jaccard(s, p) for p in drawn] for s in sets])
+    where = [ngram_join.cells_of(row) for row in d]
+    assert len({home for home, _ in where}) > 5 and pivots.tell_apart(drawn) and not pivots.tell_apart([sets[0]] * 8)
+    met = 0
+    for i, (home, visits) in enumerate(where):
+        for j in range(i):
+            # Together where both are, unless both are guests.
+            cells = [(c, c != home, c != where[j][0]) for c in {home, *visits} & {where[j][0], *where[j][1]}]
+            times = sum(not (g and h) for _, g, h in cells)
+            assert times <= 1
+            if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j])):
+                assert times == 1
+                met += 1
+    assert met > 100
