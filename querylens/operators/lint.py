@@ -240,7 +240,7 @@ def _with_correlated(t: DataFrame) -> DataFrame:
 
 
 def shape_findings(of: DataFrame, rules: Collection[str]) -> tuple[DataFrame, DataFrame]:
-    """``sid, rule, at, t_key, c_key, t_any, parts`` of each finding in the tables of :func:`shapes`, and the columns of the tables they create.
+    """``sid, rule, at, t_key, c_key, parts, detail`` of each finding in the tables of :func:`shapes`, and the columns of the tables they create.
 
     For rules that ask the catalog, t_key and c_key name the column; these findings are candidates only.
     """
@@ -258,7 +258,7 @@ def shape_findings(of: DataFrame, rules: Collection[str]) -> tuple[DataFrame, Da
     # Of a dotted name the quoted part.
     pieces = F.regexp_extract_all("tok", F.lit(r'"(?:[^"]|"")*"|`(?:[^`]|``)*`|\[[^\]]*\]|[^.]+'), F.lit(0))
     of_quoted = F.when(rule.isin("QL0100", "QL0101"), F.array_position(F.transform(pieces, lambda x: x.startswith(F.when(rule == "QL0100", "`").otherwise("["))), True)).otherwise(0).cast("int")
-    rows = hit.select("sid", rule.alias("rule"), F.col("f.at").alias("at"), of_name.alias("t_key"), F.when(F.size(parts) > 0, F.element_at(parts, -1)).alias("c_key"), of_quoted.alias("parts"))
+    rows = hit.select("sid", rule.alias("rule"), F.col("f.at").alias("at"), of_name.alias("t_key"), F.when(F.size(parts) > 0, F.element_at(parts, -1)).alias("c_key"), of_quoted.alias("parts"), F.when(rule == "QL0300", F.concat(F.col("n_from").cast("string"), F.lit(" relations"))).alias("detail"))
     if "QL0900" in rules:
         rows = rows.unionByName(_used_columns(t))
     return rows, inline_columns(t)
@@ -281,18 +281,18 @@ def _used_columns(t: DataFrame) -> DataFrame:
     listed = (F.col("first") == "INSERT") & (F.col("depth") == 1) & (F.col("block") == 1) & _isin(_b(1), "(", ",") & _eq(F.col("clause"), "INTO") & _name(F.col("up"))
     inserted = t.where(listed).select("sid", F.col("pos").alias("at"), last_part(F.col("opener.prev")).alias("t_key"), last_part(F.col("tok")).alias("c_key"), F.lit(1).alias("parts"))
     both = by_alias.select("sid", "at", "t_key", "c_key", "parts").unionByName(inserted)
-    return both.select("sid", F.lit("QL0900").alias("rule"), "at", "t_key", "c_key", "parts")
+    return both.select("sid", F.lit("QL0900").alias("rule"), "at", "t_key", "c_key", "parts", F.concat_ws(".", "t_key", "c_key").alias("detail"))
 
 
 def findings(docs: DataFrame, *, rules: Collection[str] | None = None, catalog: DataFrame | None = None) -> DataFrame:
-    """``doc_id, stmt, rule, line, col`` of each finding. ``catalog`` has ``table_key, column_key, nullable``; tables that the texts create are added."""
+    """``doc_id, stmt, rule, line, col, detail`` of each finding; detail says how many relations, which column or why raw. ``catalog`` has ``table_key, column_key, nullable``; tables that the texts create are added."""
     rules = selected() if rules is None else set(rules)
     stmts = statements(docs).where("status = 'ok' and kind <> 'UNKNOWN'").withColumn("sid", shape_id())
     # Read once for the shapes, once for the places; what isn't needed for these isn't written.
-    kept = stored(stmts.select("doc_id", "dialect", "target", "is_raw", "real", "status", "kind", "shape", "sid", "stmt", "line", "lead", "start_line", "toks", "starts"), "statements")
+    kept = stored(stmts.select("doc_id", "dialect", "target", "is_raw", "real", "status", "kind", "shape", "sid", "stmt", "line", "lead", "start_line", "toks", "starts", "raw_reason"), "statements")
     rows, created = shape_findings(stored(shapes(kept), "shapes"), rules)
     rows = stored(rows, "findings")
-    met = kept.select("sid", "doc_id", "stmt", "line", "lead", "start_line", "toks", "starts").join(rows, "sid")
+    met = kept.select("sid", "doc_id", "stmt", "line", "lead", "start_line", "toks", "starts", "raw_reason").join(rows, "sid")
     if rules & set(CATALOG_RULES):
         inline = kept.select("sid", "doc_id").join(created, "sid").drop("sid")
         met = met.where(~F.col("rule").isin(*CATALOG_RULES)).unionByName(_by_catalog(met.where(F.col("rule").isin(*CATALOG_RULES)), inline, catalog))
@@ -302,7 +302,7 @@ def findings(docs: DataFrame, *, rules: Collection[str] | None = None, catalog:
     raw = F.col("rule").isin("QL0001", "QL0204")
     line = F.when(raw, F.col("start_line")).otherwise(F.col("line") + F.length(lead) - F.length(F.translate(lead, "\n", "")))
     col = F.length(F.substring_index(lead, "\n", -1)) + 1 + F.when(F.instr(lead, "\n") == 0, F.col("lead")).otherwise(0)
-    return met.select("doc_id", "stmt", "rule", line.cast("int").alias("line"), F.when(raw, 1).otherwise(col).cast("int").alias("col"))
+    return met.select("doc_id", "stmt", "rule", line.cast("int").alias("line"), F.when(raw, 1).otherwise(col).cast("int").alias("col"), F.coalesce("detail", F.when(raw, F.col("raw_reason"))).alias("detail"))
 
 
 def _by_catalog(found: DataFrame, inline: DataFrame, catalog: DataFrame | None) -> DataFrame:
@@ -335,4 +335,4 @@ def diagnostics(docs: DataFrame, *, rules: Collection[str] | None = None, catalo
     """Findings with what the rules' dimension says about them, and the dialects."""
     found = findings(docs, rules=rules, catalog=catalog)
     described = found.join(F.broadcast(rules_table(docs.sparkSession)), "rule")  # 45 rows
-    return described.join(docs.select("doc_id", "dialect", "target"), "doc_id").select("doc_id", "stmt", "line", "col", "rule", "name", "category", "severity", "severity_rank", "message", "suggestion", F.col("dialect").alias("source_dialect"), F.col("target").alias("target_dialect"))
+    return described.join(docs.select("doc_id", "dialect", "target"), "doc_id").select("doc_id", "stmt", "line", "col", "rule", "name", "category", "severity", "severity_rank", F.concat("message", F.coalesce(F.concat(F.lit(" ("), "detail", F.lit(")")), F.lit(""))).alias("message"), "suggestion", F.col("dialect").alias("source_dialect"), F.col("target").alias("target_dialect"))

@@ -159,6 +159,13 @@ def histories_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("project_id", F.concat("kind", F.lit("="), F.replace("subject", F.lit(" "), F.lit("_"))).alias("item"))
 
 
+def histories_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables found by their unqualified name in capitals: in the current database, the default one, or the first."""
+    entries = stored(catalog.build_catalog(histories(spark, sf_dir)), "entries")
+    wanted = entries.select("project_id").distinct().select("project_id", F.explode(F.array(*(F.concat(F.lit(c), "project_id") for c in "TRUXYZ"))).alias("name"))
+    return catalog.lookup(entries, wanted, "d").select("project_id", "name", "db_key")
+
+
 def histories_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of each project, read back from the written catalog, merged with itself."""
     entries = stored(catalog.build_catalog(histories(spark, sf_dir)), "entries")
@@ -174,7 +181,7 @@ def decode_latin1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (lint_findings, lint_all_rules, lint_by_rule, lint_summary, lint_exit_codes, lint_help_dedup, corpus_texts, pieces_lose_nothing, statement_kinds, raw_reasons, translate_corpus, translate_warnings, catalog_columns, catalog_indexes, catalog_notes, decode_latin1, lint_composed, lint_composed_places, lint_reports, lint_pretty, lint_json, lint_sarif, histories_columns, histories_keys, histories_notes, histories_summary)
+    for f in (lint_findings, lint_all_rules, lint_by_rule, lint_summary, lint_exit_codes, lint_help_dedup, corpus_texts, pieces_lose_nothing, statement_kinds, raw_reasons, translate_corpus, translate_warnings, catalog_columns, catalog_indexes, catalog_notes, decode_latin1, lint_composed, lint_composed_places, lint_reports, lint_pretty, lint_json, lint_sarif, histories_columns, histories_keys, histories_notes, histories_summary, histories_lookup)
 }
 
 _SEVERITY = ", ".join(f"('{r.rule}', '{r.severity}', {SEVERITIES.index(r.severity)})" for r in RULES)
@@ -227,6 +234,7 @@ SQL: dict[str, str] = {
     "catalog_indexes": "select p_partkey::varchar as project_id, 'r' || p_partkey as table_key, 'id' as columns, true as is_unique, true as is_primary from part",
     "catalog_notes": "select p_partkey::varchar as project_id, 'missing_table' as kind, 'gone' as subject from part",
     **{f"histories_{what}": f"{histories_sql(what)} select project_id, item from stated" for what in ("columns", "keys", "notes")},
+    "histories_lookup": f"{histories_sql('columns')}, found as (select distinct project_id, split_part(item, '.', 1) as t from stated) select project_id, upper(t) as name, case when t[1] in ('x', 'z') then 'd' else '' end as db_key from found",
     "histories_summary": f"{histories_sql('columns')}, noted as (select project_id, count(*) as n from ({histories_sql('notes')} select project_id from stated) group by all) select project_id, count(*) as n_columns, coalesce(any_value(n), 0)::bigint as n_notes from stated left join noted using (project_id) group by all",
     "decode_latin1": "select c_custkey, c_name || ' é€' as text, true as utf8_fails from customer",
 }

@@ -75,6 +75,12 @@ def test_running_sums(spark):
     assert row["s"] == [k * (k + 1) // 2 for k in range(2500)] and row["e"] == []
 
 
+def test_messages_say_details(spark):
+    docs = spark.createDataFrame([(1, "mysql", None, "SELECT a FROM b, c, d"), (2, "mariadb", "mysql", "CREATE EVENT e DO x"), (3, "mysql", None, "CREATE TABLE t (a INT); SELECT t.z FROM t")], DOCS)
+    got = {(r["doc_id"], r["rule"]): r["message"] for r in diagnostics(docs).collect()}
+    assert got[1, "QL0300"].endswith("(3 relations)") and got[2, "QL0204"].endswith("(create_event)") and got[3, "QL0900"].endswith("(t.z)")
+
+
 def test_equal_names_in_many_documents(spark):
     """Each document's own tables count, not those of the same name elsewhere; the catalog's are for all."""
     docs = spark.createDataFrame([(i, "generic", None, f"CREATE TABLE t (c{i} INT NOT NULL); SELECT x.c1, COUNT(x.c{i}) FROM t x") for i in range(4)], DOCS)
