@@ -16,6 +16,7 @@ from querylens.operators.lint import diagnostics, findings
 from querylens.operators.tokens import pieces, statements
 from querylens.operators.translate import translate, warnings
 from querylens.plans.corpus import PARTS, TEMPLATES, composed, composed_sql, corpus, corpus_sql, stated_sql
+from querylens.plans.dialects import CAPABILITIES, SUPPORTED, dialect_caps
 from querylens.plans.histories import histories, histories_sql
 from querylens.plans.rules import RULES, SEVERITIES
 from querylens.sources.work import stored
@@ -172,6 +173,14 @@ def histories_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.summary(catalog.merged(entries, entries)).select("project_id", "n_columns", "n_notes").where("n_columns + n_notes > 0")
 
 
+def caps_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialect_caps(spark)
+
+
+def rules_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.rule_totals(spark)
+
+
 def decode_latin1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names with an accent, written in an 8-bit encoding and read again; as UTF-8 they can't be read."""
     name = F.concat("c_name", F.lit(" é€"))
@@ -181,7 +190,7 @@ def decode_latin1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (lint_findings, lint_all_rules, lint_by_rule, lint_summary, lint_exit_codes, lint_help_dedup, corpus_texts, pieces_lose_nothing, statement_kinds, raw_reasons, translate_corpus, translate_warnings, catalog_columns, catalog_indexes, catalog_notes, decode_latin1, lint_composed, lint_composed_places, lint_reports, lint_pretty, lint_json, lint_sarif, histories_columns, histories_keys, histories_notes, histories_summary, histories_lookup)
+    for f in (lint_findings, lint_all_rules, lint_by_rule, lint_summary, lint_exit_codes, lint_help_dedup, corpus_texts, pieces_lose_nothing, statement_kinds, raw_reasons, translate_corpus, translate_warnings, catalog_columns, catalog_indexes, catalog_notes, decode_latin1, lint_composed, lint_composed_places, lint_reports, lint_pretty, lint_json, lint_sarif, histories_columns, histories_keys, histories_notes, histories_summary, histories_lookup, caps_matrix, rules_by_category)
 }
 
 _SEVERITY = ", ".join(f"('{r.rule}', '{r.severity}', {SEVERITIES.index(r.severity)})" for r in RULES)
@@ -205,6 +214,8 @@ _REASONS = {"SYSTEM VERSIONING": "system_versioning", "FOR SYSTEM_TIME": "tempor
 _RAW = ", ".join(f"({i}, '{next(r for w, r in _REASONS.items() if w in t.text)}')" for i, t in enumerate(TEMPLATES) if "QL0001" in t.off)
 _WARN = {"QL0200": "RETURNING_DROPPED", "QL0203": "SEQUENCE_DROPPED", "QL0204": "RAW_PASSTHROUGH"}
 _WARNED = ", ".join(f"({i}, '{_WARN[r]}')" for i, t in enumerate(TEMPLATES) if t.target for r in t.rules if r in _WARN)
+_CAPS = ", ".join("(" + ", ".join([f"'{d}'", *(str(c in SUPPORTED[d]).lower() for c in CAPABILITIES)]) + ")" for d in SUPPORTED)
+_RULES = ", ".join(f"('{r.category}', {str(r.enabled).lower()})" for r in RULES)
 _SHOWN = {r.rule: r for r in RULES}
 _PLACED = ", ".join(f"({i}, '{r}', '{_SHOWN[r].severity}', '{_SHOWN[r].message}', '{_SHOWN[r].suggestion}', '{_SHOWN[r].name}', '{_SHOWN[r].category}', {col})" for i, t in enumerate(TEMPLATES) for r, col in (*(("QL0500", t.text.index("*") + 1) for r in t.rules if r == "QL0500"), *(("QL0600", t.text.index(" NULL") - 2) for r in t.rules if r == "QL0600" and "UPDATE" not in t.text and "<>" not in t.text), *(("QL0600", t.text.index("c = NULL") + 1) for r in t.rules if r == "QL0600" and "UPDATE" in t.text), *(("QL0600", t.text.index("e <> NULL") + 1) for r in t.rules if r == "QL0600" and "<>" in t.text), *((r, 1) for r in t.rules if r == "QL0302"), *((r, 8) for r in t.rules if r == "QL0601")))
 #: A finding at most for each text, with its column: of text with a key before the place the key's length is added.
@@ -236,5 +247,40 @@ SQL: dict[str, str] = {
     **{f"histories_{what}": f"{histories_sql(what)} select project_id, item from stated" for what in ("columns", "keys", "notes")},
     "histories_lookup": f"{histories_sql('columns')}, found as (select distinct project_id, split_part(item, '.', 1) as t from stated) select project_id, upper(t) as name, case when t[1] in ('x', 'z') then 'd' else '' end as db_key from found",
     "histories_summary": f"{histories_sql('columns')}, noted as (select project_id, count(*) as n from ({histories_sql('notes')} select project_id from stated) group by all) select project_id, count(*) as n_columns, coalesce(any_value(n), 0)::bigint as n_notes from stated left join noted using (project_id) group by all",
+    "caps_matrix": f"select * from (values {_CAPS}) t(dialect, {', '.join(CAPABILITIES)})",
+    "rules_by_category": f"select category, count(*) as n, count_if(enabled)::bigint as n_enabled from (values {_RULES}) t(category, enabled) group by rollup (category)",
     "decode_latin1": "select c_custkey, c_name || ' é€' as text, true as utf8_fails from customer",
 }
+
+#: What rules warn of, run over the tables: each counts the flagged form and the advised one, and how often lint flags its text.
+EVIDENCE = {
+    "evidence_not_in_nulls": ("QL0400", """select (select count(*) from {orders} where o_custkey not in (select case when c_custkey % 7 = 0 then null else c_custkey end from {customer})) as not_in,
+        (select count(*) from {orders} o where not exists (select 1 from {customer} c where c_custkey % 7 <> 0 and c.c_custkey = o.o_custkey)) as not_exists"""),
+    "evidence_equals_null": ("QL0600", "select count(case when x = null then 1 end) as equals_null, count(case when x is null then 1 end) as is_null from (select nullif(p_size, 10) as x from {part}) t"),
+    "evidence_count_column": ("QL0505", "select p_brand, count(x) as of_column, count(*) as of_rows from (select p_brand, nullif(p_size, 10) as x from {part}) t group by p_brand"),
+    "evidence_and_or": ("QL0603", """select count(case when p_size = 1 or p_size = 2 and p_partkey % 2 = 0 then 1 end) as bare, count(case when (p_size = 1 or p_size = 2) and p_partkey % 2 = 0 then 1 end) as grouped from {part}"""),
+    "evidence_or_union": ("QL0507", """select (select count(*) from {orders} where o_custkey = 7 or o_orderstatus = 'F') as with_or,
+        (select count(*) from (select o_orderkey from {orders} where o_custkey = 7 union all select o_orderkey from {orders} where o_orderstatus = 'F' and o_custkey <> 7) t) as with_union"""),
+    "evidence_full_outer": ("QL0306", """select (select count(*) from {customer} full outer join {orders} on c_custkey = o_custkey) as full_outer,
+        (select count(*) from {customer} left join {orders} on c_custkey = o_custkey) + (select count(*) from {orders} where not exists (select 1 from {customer} where c_custkey = o_custkey)) as emulated"""),
+    "evidence_group_position": ("QL0606", "select o_orderstatus as status, count(*) as n from {orders} group by 1"),
+    "evidence_in_exists": ("QL0401", """select (select count(*) from {customer} where c_custkey in (select o_custkey from {orders})) as with_in,
+        (select count(*) from {customer} where exists (select 1 from {orders} where o_custkey = c_custkey)) as with_exists"""),
+    "evidence_distinct_join": ("QL0505", "select (select count(distinct c_custkey) from {customer} join {orders} on c_custkey = o_custkey) as with_distinct, (select count(*) from {customer} where c_custkey in (select o_custkey from {orders})) as semi_join"),
+}
+
+
+def _evidence(rule: str, text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        names = [n for n in ("orders", "customer", "part") if "{" + n + "}" in text]
+        counted = spark.sql(text, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+        docs = spark.createDataFrame([(1, "mysql", None, text.replace("{", "").replace("}", ""))], "doc_id long, dialect string, target string, text string")
+        flagged = findings(docs, rules={rule}).agg(F.count("*").alias("n_flagged"))
+        return counted.join(F.broadcast(flagged))  # one row
+
+    return run
+
+
+for _name, (_rule, _text) in EVIDENCE.items():
+    QUERIES[_name] = _evidence(_rule, _text)
+    SQL[_name] = "select *, 1::bigint as n_flagged from (" + _text.replace("{", "").replace("}", "") + ")"
