@@ -8,7 +8,8 @@ merges its places. Words without a further merge leave the array.
 
 Strings of special tokens are cut out of the raw text first, as the library does. Null and empty
 texts have no ids and decode to an empty text. Repeated rows get the same result each; empty tables
-give empty results; other columns are ignored.
+give empty results; very long texts are encoded whole; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations

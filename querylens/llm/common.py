@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import os
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager, suppress
 
@@ -16,6 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querylens.sources.work import stored, work_path
+
+__all__ = ["stored", "work_path"]  # imported from here by the operators
+
 #: Fixed value: a word is a run of anything but space and the controls 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD_BYTES = re.compile(rb"[^ \t-\r]+")
@@ -39,26 +40,6 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the storage that the cluster names in ``spark.checkpoint.dir``.
-
-    Only where that is unset, as in tests on one machine, a folder of this machine serves.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        root = os.path.join(tempfile.gettempdir(), "querylens-work")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: a lost executor then costs no recomputation."""
-    spark = df.sparkSession
-    df.write.parquet(path := work_path(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]):
     """These settings of the session while the block runs."""

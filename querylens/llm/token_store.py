@@ -13,7 +13,8 @@ one longer document:
                        apart from it each rank's 1 to 4 bytes, least significant first
 
 Each document ends with an end id. Null and empty texts have that id alone. Empty tables give an
-empty file set; repeated rows are stored each; other columns are ignored.
+empty file set; repeated rows are stored each; a very long text is a block of its own; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ with the rule's path. Among fitting rules the longest ``host + path`` wins; of e
 longer host, then ``block``.
 
 Null urls and urls without ``://`` have an empty host and path, fit no rule and get the default
-verdict. Empty tables give empty results; repeated rows give repeated rows; other columns are ignored.
+verdict. Empty tables give empty results; repeated rows give repeated rows; very long urls
+are walked whole, segment by segment; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
