@@ -19,7 +19,8 @@ from querylens.plans.corpus import PARTS, TEMPLATES, composed, composed_sql, cor
 from querylens.plans.dialects import CAPABILITIES, SUPPORTED, dialect_caps
 from querylens.plans.histories import histories, histories_sql
 from querylens.plans.rules import RULES, SEVERITIES
-from querylens.sources.work import stored
+from querylens.sources.files import read_sources, write_sql
+from querylens.sources.work import stored, work_path
 
 
 def lint_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,6 +174,23 @@ def histories_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.summary(catalog.merged(entries, entries)).select("project_id", "n_columns", "n_notes").where("n_columns + n_notes > 0")
 
 
+def files_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of SQL, read as bytes and decoded: statements of each kind and status in all of them."""
+    path = work_path(spark, "sql-files")
+    lines = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("SELECT 'é;' AS x, "), F.col("o_orderkey").cast("string"), F.lit("; -- next")).alias("value"))
+    lines.repartition(8).write.text(path)
+    docs = read_sources(spark, f"{path}/*.txt", "mysql")
+    return statements(docs.where("status = 'ok'")).groupBy("kind", "status").agg(F.count("*").alias("n"))
+
+
+def written_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written in an 8-bit encoding with a line's end each, and read again."""
+    path = work_path(spark, "sql-bytes")
+    texts = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("SELECT 'é€' AS k"), F.col("o_orderkey").cast("string")).alias("sql"))
+    write_sql(texts, path, encoding="latin1")
+    return spark.read.parquet(path).select("doc_id", decoded(F.col("content"), "latin1").alias("text"), F.length("content").cast("long").alias("n_bytes"))
+
+
 def caps_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialect_caps(spark)
 
@@ -190,7 +208,7 @@ def decode_latin1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (lint_findings, lint_all_rules, lint_by_rule, lint_summary, lint_exit_codes, lint_help_dedup, corpus_texts, pieces_lose_nothing, statement_kinds, raw_reasons, translate_corpus, translate_warnings, catalog_columns, catalog_indexes, catalog_notes, decode_latin1, lint_composed, lint_composed_places, lint_reports, lint_pretty, lint_json, lint_sarif, histories_columns, histories_keys, histories_notes, histories_summary, histories_lookup, caps_matrix, rules_by_category)
+    for f in (lint_findings, lint_all_rules, lint_by_rule, lint_summary, lint_exit_codes, lint_help_dedup, corpus_texts, pieces_lose_nothing, statement_kinds, raw_reasons, translate_corpus, translate_warnings, catalog_columns, catalog_indexes, catalog_notes, decode_latin1, lint_composed, lint_composed_places, lint_reports, lint_pretty, lint_json, lint_sarif, histories_columns, histories_keys, histories_notes, histories_summary, histories_lookup, files_statements, written_sql, caps_matrix, rules_by_category)
 }
 
 _SEVERITY = ", ".join(f"('{r.rule}', '{r.severity}', {SEVERITIES.index(r.severity)})" for r in RULES)
@@ -247,6 +265,8 @@ SQL: dict[str, str] = {
     **{f"histories_{what}": f"{histories_sql(what)} select project_id, item from stated" for what in ("columns", "keys", "notes")},
     "histories_lookup": f"{histories_sql('columns')}, found as (select distinct project_id, split_part(item, '.', 1) as t from stated) select project_id, upper(t) as name, case when t[1] in ('x', 'z') then 'd' else '' end as db_key from found",
     "histories_summary": f"{histories_sql('columns')}, noted as (select project_id, count(*) as n from ({histories_sql('notes')} select project_id from stated) group by all) select project_id, count(*) as n_columns, coalesce(any_value(n), 0)::bigint as n_notes from stated left join noted using (project_id) group by all",
+    "files_statements": "select 'SELECT' as kind, 'ok' as status, count(*) as n from orders",
+    "written_sql": "select o_orderkey as doc_id, 'SELECT ''é€'' AS k' || o_orderkey || chr(10) as text, (17 + len(o_orderkey::varchar))::bigint as n_bytes from orders",
     "caps_matrix": f"select * from (values {_CAPS}) t(dialect, {', '.join(CAPABILITIES)})",
     "rules_by_category": f"select category, count(*) as n, count_if(enabled)::bigint as n_enabled from (values {_RULES}) t(category, enabled) group by rollup (category)",
     "decode_latin1": "select c_custkey, c_name || ' é€' as text, true as utf8_fails from customer",
