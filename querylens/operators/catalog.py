@@ -32,7 +32,8 @@ def inline_columns(t: DataFrame) -> DataFrame:
         F.max(((F.col("up") == "NOT") & (F.get("after", F.lit(0)) == "NULL")) | ((F.col("up") == "PRIMARY") & (F.get("after", F.lit(0)) == "KEY"))).alias("required"),
     )
     rows = items.where(~F.col("head").isin(*CONSTRAINTS, ")"))
-    table = F.element_at(F.regexp_extract_all("table", F.lit(r'"(?:[^"]|"")*"|`(?:[^`]|``)*`|\[[^\]]*\]|[^.]+'), F.lit(0)), -1)
+    parts = F.regexp_extract_all("table", F.lit(r'"(?:[^"]|"")*"|`(?:[^`]|``)*`|\[[^\]]*\]|[^.]+'), F.lit(0))
+    table = F.get(parts, F.size(parts) - 1)
     return rows.select("sid", F.lower(plain_name(table)).alias("table_key"), F.lower(plain_name(F.col("name"))).alias("column_key"), (~F.coalesce("required", F.lit(False))).alias("nullable"))
 
 

@@ -61,7 +61,8 @@ def name_parts(word: Column) -> Column:
 
 
 def last_part(word: Column) -> Column:
-    return F.element_at(name_parts(word), -1)
+    parts = name_parts(word)
+    return F.get(parts, F.size(parts) - 1)
 
 
 def _with_sums(t: DataFrame) -> DataFrame:
@@ -276,7 +277,7 @@ def _used_columns(t: DataFrame) -> DataFrame:
     dotted = F.col("tok").contains(".") & F.col("kind").isin("word", "quoted") & ~F.col("tok").endswith(".*") & ~_eq(_a(1), "(")
     used = (F.col("clause").isin("SELECT", "WHERE") | F.col("in_on")) & (F.col("calls") == F.when(_eq(F.col("opener.prev"), "IN"), 1).otherwise(0))
     names = name_parts(F.col("tok"))
-    used = t.where(dotted & used & (F.col("select_no") > 0)).select(*place, F.col("pos").alias("at"), F.element_at(names, F.size(names) - 1).alias("alias"), F.element_at(names, -1).alias("c_key"), F.size(names).alias("parts"))
+    used = t.where(dotted & used & (F.col("select_no") > 0)).select(*place, F.col("pos").alias("at"), F.get(names, F.size(names) - 2).alias("alias"), F.get(names, F.size(names) - 1).alias("c_key"), F.size(names).alias("parts"))
     by_alias = used.where("parts = 2").join(scope, [*place, "alias"]).unionByName(used.where("parts > 2").withColumn("t_key", F.col("alias")))
     listed = (F.col("first") == "INSERT") & (F.col("depth") == 1) & (F.col("block") == 1) & _isin(_b(1), "(", ",") & _eq(F.col("clause"), "INTO") & _name(F.col("up"))
     inserted = t.where(listed).select("sid", F.col("pos").alias("at"), last_part(F.col("opener.prev")).alias("t_key"), last_part(F.col("tok")).alias("c_key"), F.lit(1).alias("parts"))

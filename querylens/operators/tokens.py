@@ -159,9 +159,11 @@ def _statement_arrays(docs: DataFrame) -> DataFrame:
         depth = F.aggregate(signs, F.struct(F.lit(0).alias("now"), F.lit(0).alias("least")), lambda d, x: F.struct((d["now"] + F.when(x == "(", 1).otherwise(-1)).alias("now"), F.least(d["least"], d["now"] + F.when(x == "(", 1).otherwise(-1)).alias("least")))
         quote = lambda x: F.when(F.substring(F.upper(x), 1, 2).isin("N'", "E'"), "'").otherwise(F.substring(x, 1, 1))
         unclosed = F.exists(s["sig"], lambda i: quote(tok(i)).isin("'", '"', "`") & ((F.substring(tok(i), -1, 1) != quote(tok(i))) | (F.length(tok(i)) == 1)))
-        shape = F.regexp_replace(F.array_join(s["words"], MARK), MARK + r"\.(?:" + MARK + r"\.)*" + MARK, ".")
-        is_dot = lambda k: F.coalesce(F.get(s["words"], k) == ".", F.lit(False))
-        starts = F.filter(F.transform(s["sig"], lambda i, k: F.when(~is_dot(k) & ~(is_dot(k - 1) & (k > 1)), i)), lambda i: i.isNotNull())
+        # Dots join names, not what a parenthesis ends or begins.
+        shape = F.regexp_replace(F.array_join(s["words"], MARK), r"(?<![()])" + MARK + r"\.(?:" + MARK + r"\.)*" + MARK + r"(?![()])", ".")
+        word = lambda k: F.get(s["words"], k)
+        glued = lambda k: F.coalesce((word(k) == ".") & (k > 0) & ~word(k - 1).isin("(", ")") & ~word(k + 1).isin("(", ")"), F.lit(False))
+        starts = F.filter(F.transform(s["sig"], lambda i, k: F.when(~glued(k) & ~glued(k - 1), i)), lambda i: i.isNotNull())
         sql = F.regexp_replace(F.element_at(F.col("whole"), s["piece"] + 1), r"\A\s+|\s+\z", "")
         lead = F.array_join(F.slice(s["toks"], 1, F.greatest(F.coalesce(F.array_position(F.transform(s["toks"], lambda x: F.trim(x, F.lit(" \t\n\r")) != ""), True), F.lit(1)).cast("int") - 1, F.lit(0))), "")
         return F.struct(

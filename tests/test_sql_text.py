@@ -1,6 +1,7 @@
 """Tokens, statements, lint rules, translation, reports: small cases and the derived corpus."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +76,22 @@ def test_running_sums(spark):
     assert row["s"] == [k * (k + 1) // 2 for k in range(2500)] and row["e"] == []
 
 
+def test_any_sequence_of_tokens_is_linted(spark):
+    """No text makes the job fail, and none is lost but those that are broken."""
+    pool = ["SELECT", "FROM", "WHERE", "a", "t.b", "`x.y`", "[q.r]", ".", "..", "(", ")", ",", "*", "t.*", "=", "NULL", "'s'", "'%x'", "1", "AND", "OR", "NOT", "IN", "JOIN", "ON", "USING", "INSERT INTO", "VALUES", "UPDATE", "SET", "CREATE TABLE", "INT", "COUNT", "CASE", "END", "BEGIN", ";", "WITH", "UNION", "LIMIT", "ORDER BY", "GROUP BY", "RETURNING", "::", '"z"', "-- c\n", "/* k */", "{", "\x00", "é"]
+    deal = random.Random(5)
+    rows = [(i, ("mysql", "mariadb", "postgres", "mssql", "sqlite", "generic")[i % 6], (None, "mysql")[i % 2], " ".join(deal.choices(pool, k=deal.randint(1, 25)))) for i in range(400)]
+    rows += [(1000, "postgres", None, "SELECT (c).a.b, (f(x)).y FROM t WHERE ((t).k = NULL)"), (1001, "generic", None, "SELECT [a.b] FROM t WHERE [c.d] = 1 AND . = 2")]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = findings(docs, rules={r.rule for r in RULES}).collect()
+    assert [(r["rule"], r["line"]) for r in got if r["doc_id"] == 1000] == [("QL0600", 1)]
+    assert all(r["line"] >= 1 and r["col"] >= 1 for r in got)
+    joined = statements(docs).select("doc_id", F.array_join("toks", "").alias("text")).collect()
+    texts = {i: t.replace("\x01", " ") for i, _, _, t in rows}
+    assert all(r["text"] in texts[r["doc_id"]] for r in joined)
+    assert translate(docs.where("target is not null")).count() == 200
+
+
 def test_messages_say_details(spark):
     docs = spark.createDataFrame([(1, "mysql", None, "SELECT a FROM b, c, d"), (2, "mariadb", "mysql", "CREATE EVENT e DO x"), (3, "mysql", None, "CREATE TABLE t (a INT); SELECT t.z FROM t")], DOCS)
     got = {(r["doc_id"], r["rule"]): r["message"] for r in diagnostics(docs).collect()}
