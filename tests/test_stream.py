@@ -20,7 +20,7 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_counts_by_hour(spark, tmp_path):
     """Counts of windows that closed; a finding later than the watermark is left out."""
     rows = [("2024-01-01 10:05:00", "A"), ("2024-01-01 10:50:00", "A"), ("2024-01-01 11:10:00", "B"), ("2024-01-01 14:00:00", "B")]
-    for k, part in enumerate((rows, [("2024-01-01 10:30:00", "A"), ("2024-01-01 15:00:00", "C")], [("2024-01-01 20:00:00", "C")])):
+    for k, part in enumerate((rows, [("2024-01-01 15:00:00", "C")], [("2024-01-01 16:00:00", "C")], [("2024-01-01 10:30:00", "A")], [("2024-01-01 20:00:00", "C")])):
         spark.createDataFrame(part, "ts string, rule string").coalesce(1).write.parquet(str(tmp_path / "in" / f"k={k}"))
     stream = spark.readStream.schema("ts string, rule string, k int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     counted = counts_by_hour(stream.withColumn("ts", F.to_timestamp("ts")), late="1 hour").select(F.hour("window.start").alias("h"), "rule", "n")
