@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import gather
-from .common import Words, ends, mix64, pieces, settings, slices, stored, sums, text_or_empty
+from .common import Words, ends, give_back, mix64, pieces, settings, slices, stored, sums, text_or_empty
 from .components import components
 
 SHINGLE = 5
@@ -271,6 +271,7 @@ def _near(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
                 size = min(len(a), len(b))
                 keep.append(bool(may_link(n, m, int(np.minimum(folded(a, size), folded(b, size)).sum()))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "p"]).filter(pa.array(keep, pa.bool_()))
+            give_back()
 
     return both.select("x", "p", "n_x", "n_p", "s_x", "s_p").mapInArrow(run, "x long, p long")
 
@@ -285,6 +286,7 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             x, p, n_x, n_p, s_x, s_p = (batch.column(i) for i in range(6))
             common = [len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in zip(s_x.to_pylist(), s_p.to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([x, p, n_x, n_p, pa.array(common, pa.int64())], ["x", "p", "n_x", "n_p", "common"])
+            give_back()
 
     return both.select("x", "p", "n_x", "n_p", "s_x", "s_p").mapInArrow(run, "x long, p long, n_x long, n_p long, common long")
 
@@ -439,8 +441,11 @@ def _by_cell(rows: DataFrame, content: str, work, schema: str) -> DataFrame:
                 table = pa.Table.from_batches([batch])
                 made, held = results(table if held is None else pa.concat_tables([held, table]), False)
                 yield made
+                give_back()
         if held is not None:
             yield results(held, True)[0]
+        held = None
+        give_back()
 
     return rows.select(*CELL_NAMES, content).repartition("cell").sortWithinPartitions("cell", "x").mapInArrow(run, schema)
 
@@ -510,6 +515,7 @@ def _split(big: DataFrame, sets: DataFrame, number: int) -> DataFrame:
                 out.append((f"{cell}/{number}.{home}", p, x, n, root, mask))
                 out += [(f"{cell}/{number}.{j}", p, x, n, root, mask | bit) for j in visits]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string() if k == 0 else pa.int64()) for k in range(6)], CELL_NAMES)
+            give_back()
 
     dealt = members.unionByName(pivots).select("cell", "part", "member", *names, "shingles")
     return dealt.repartition("cell", "part").sortWithinPartitions("cell", "part", "member", "x").mapInArrow(run, CELL)
